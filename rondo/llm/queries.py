@@ -4,9 +4,21 @@ from __future__ import annotations
 
 from .common import table
 from .mixing import mix_sources
+from .mpeg import digests as audio_digests
+from .secret_scan import scan_digests
 from .sharding import shard_by_bytes
 
 
+def op5_mpeg(spark, sf_dir):
+    """Texts stored as MPEG audio streams, read back, checked and digested."""
+    return audio_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark, sf_dir):
+    """Spans of secrets: three fixed patterns and inferred credential grammars."""
+    return scan_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark, sf_dir):
     """Words that the mix takes of each document, by hash-threshold histograms."""
     out = mix_sources(table(spark, sf_dir, "documents"))
@@ -41,5 +53,5 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.u = k.u
 """
 
-QUERIES = {"op9_mix": op9_mix, "op10_shard": op10_shard}
+QUERIES = {"op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
 SQL = {"op9_mix": OP9_SQL}
