@@ -6,9 +6,23 @@ from .common import table
 from .mixing import mix_sources
 from .mpeg import digests as audio_digests
 from .secret_scan import scan_digests
+from .token_output import read_tokens, write_tokens
 from .sharding import shard_by_bytes
 
 
+def public_tokenizer(name: str) -> str:
+    """Path of a public vocabulary file on this machine; every machine has them in the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_rans(spark, sf_dir):
+    """Token ids in interleaved rANS segments, written in doc_id order, read back and digested."""
+    segments, freq = write_tokens(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+    return read_tokens(segments, freq, digest=True)
+
+
 def op5_mpeg(spark, sf_dir):
     """Texts stored as MPEG audio streams, read back, checked and digested."""
     return audio_digests(table(spark, sf_dir, "documents"))
@@ -53,5 +67,5 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.u = k.u
 """
 
-QUERIES = {"op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
+QUERIES = {"op1_rans": op1_rans, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
 SQL = {"op9_mix": OP9_SQL}
