@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .fst_tokens import count_tokens
 from .mixing import mix_sources
 from .mpeg import digests as audio_digests
 from .secret_scan import scan_digests
@@ -23,6 +24,11 @@ def op1_rans(spark, sf_dir):
     return read_tokens(segments, freq, digest=True)
 
 
+def op4_count(spark, sf_dir):
+    """Tokens of every text by the compiled finite-state tokenizer."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+
+
 def op5_mpeg(spark, sf_dir):
     """Texts stored as MPEG audio streams, read back, checked and digested."""
     return audio_digests(table(spark, sf_dir, "documents"))
@@ -67,5 +73,5 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.u = k.u
 """
 
-QUERIES = {"op1_rans": op1_rans, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
+QUERIES = {"op1_rans": op1_rans, "op4_count": op4_count, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
 SQL = {"op9_mix": OP9_SQL}
