@@ -6,6 +6,7 @@ from .common import table
 from .fst_tokens import count_tokens
 from .mixing import mix_sources
 from .mpeg import digests as audio_digests
+from .neardup import near_duplicates
 from .secret_scan import scan_digests
 from .token_output import read_tokens, write_tokens
 from .sharding import shard_by_bytes
@@ -24,6 +25,11 @@ def op1_rans(spark, sf_dir):
     return read_tokens(segments, freq, digest=True)
 
 
+def op2_neardup(spark, sf_dir):
+    """Near-duplicate components by b-bit MinHash, confirmed on full sets."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_count(spark, sf_dir):
     """Tokens of every text by the compiled finite-state tokenizer."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
@@ -73,5 +79,5 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.u = k.u
 """
 
-QUERIES = {"op1_rans": op1_rans, "op4_count": op4_count, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
+QUERIES = {"op1_rans": op1_rans, "op2_neardup": op2_neardup, "op4_count": op4_count, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
 SQL = {"op9_mix": OP9_SQL}
