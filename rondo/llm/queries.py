@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .fst_tokens import count_tokens
+from .langid import identify, train
 from .mixing import mix_sources
 from .mpeg import digests as audio_digests
 from .neardup import near_duplicates
@@ -45,6 +46,12 @@ def op6_secrets(spark, sf_dir):
     return scan_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark, sf_dir):
+    """Language of every text: script ranges, word scores, Viterbi with a switching penalty."""
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op9_mix(spark, sf_dir):
     """Words that the mix takes of each document, by hash-threshold histograms."""
     out = mix_sources(table(spark, sf_dir, "documents"))
@@ -79,5 +86,5 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.u = k.u
 """
 
-QUERIES = {"op1_rans": op1_rans, "op2_neardup": op2_neardup, "op4_count": op4_count, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op9_mix": op9_mix, "op10_shard": op10_shard}
+QUERIES = {"op1_rans": op1_rans, "op2_neardup": op2_neardup, "op4_count": op4_count, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op7_langid": op7_langid, "op9_mix": op9_mix, "op10_shard": op10_shard}
 SQL = {"op9_mix": OP9_SQL}
