@@ -1,8 +1,65 @@
-"""A corpus pipeline of the training-data operators, stage by stage."""
+"""A corpus pipeline of the training-data operators: five stages, each over all that its predecessor kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
+docs. All but the last keep the columns of documents. Columns are looked up by name; extra ones are carried along.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rondo.llm import decontam, langid, mixing, neardup, token_output
+from rondo.llm.common import shared_dir, table
+from rondo.llm.queries import public_tokenizer
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is `und` (no text, no letters) go; a missing language is filled in."""
+    found = langid.language_of(langid.train(docs))
+    known = docs.withColumn("__lang", found(F.col("text").cast("string"))).filter("__lang != 'und'")
+    return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, that with the smallest doc_id; repeated rows become one."""
+    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.is_contaminated(decontam.build(docs, table(spark, sf_dir, "benchmark")))
+    return docs.filter(~found(F.col("text")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, or up to three times."""
+    taken = mixing.with_copies(docs, mixing.source_cuts(docs)).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in rANS segments, read back and digested: (doc_id, start, n_tokens, ids_crc32)."""
+    segments, freq = token_output.write_tokens(docs, public_tokenizer("byte_bpe_50k.json"))
+    return token_output.read_tokens(segments, freq, digest=True)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
+
+#: The tokenizer and the trained models can't be said in SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/rondo/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex[:12]}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs.write.parquet(f"{base}/{k}-{name}")
+        docs = spark.read.parquet(f"{base}/{k}-{name}")
+    return docs

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,27 +204,43 @@ def label(model: Model, texts: list[str | None]):
             held, start, total = [], stop, 0
 
 
+def predict(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each text's language (len(model.langs): und) and its share of the letters."""
+    pred, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
+    for s, e, owner, begin, end, best in label(model, texts):
+        letters = np.zeros((e - s, len(model.langs)))
+        np.add.at(letters, (owner, best), end - begin)
+        total = letters.sum(axis=1)
+        some = total > 0
+        pred[s:e][some] = letters[some].argmax(axis=1)
+        score[s:e][some] = letters[some].max(axis=1) / total[some]
+    return pred, score
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row."""
     names = pa.array([*model.langs, "und"])
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
-            pred, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
-            for s, e, owner, begin, end, best in label(model, texts):
-                letters = np.zeros((e - s, len(model.langs)))
-                np.add.at(letters, (owner, best), end - begin)
-                total = letters.sum(axis=1)
-                some = total > 0
-                pred[s:e][some] = letters[some].argmax(axis=1)
-                score[s:e][some] = letters[some].max(axis=1) / total[some]
+            pred, score = predict(model, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names.take(pa.array(pred)), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), held_out(docs[key]).alias("held_out"), docs[text].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def language_of(model: Model):
+    """A column function: the language of a text, or und."""
+    names = np.array([*model.langs, "und"], object)
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series(names[predict(model, texts.where(texts.notna(), None).tolist())[0]])
+
+    return found
+
+
 def spans(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, start, end, lang): runs of words with one label, in code points."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import materialize, n_words, release
 
 #: Levels of the histogram and bits of each: the last bucket is one value of the 48-bit hash.
 LEVELS, BITS = 4, 12
@@ -107,22 +107,32 @@ def _small(df: DataFrame) -> bool:
     return df.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies): how many words and copies of each row the mix takes."""
-    sizes = materialize(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), hash48(F.col(key)).alias("u")),
-        "mix-sizes",
-    )
+def source_cuts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """One row per source: (source, source_size, target, whole, threshold). Only (source, size, hash) of the rows is stored."""
+    sizes = materialize(docs.select(docs[source].cast("string").alias("source"), n_words(docs[text]).alias("size"), hash48(docs[key]).alias("u")), "mix-sizes")
     targets = materialize(source_targets(sizes, weights, repeats), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("whole", whole)
-    budgets = plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    cut = materialize(
-        plan.alias("p").join(thresholds(sizes.select("source", "size", "u"), budgets).alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-        .select("p.source", "source_size", "target", "whole", F.when(F.col("target") > F.col("whole") * F.col("source_size"), F.col("threshold")).otherwise(F.lit(0)).cast("long").alias("threshold")),
-        "mix-cut",
+    part = F.col("target") - F.col("whole") * F.col("source_size")
+    cut = plan.alias("p").join(thresholds(sizes, plan.select("source", part.alias("budget"))).alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+    out = materialize(cut.select("p.source", "source_size", "target", "whole", F.when(part > 0, F.col("threshold")).otherwise(F.lit(0)).cast("long").alias("threshold")), "mix-cut")
+    release(sizes)
+    return out
+
+
+def with_copies(rows: DataFrame, cuts: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
+    """rows with the columns __source_size, __target and __copies. No row is shuffled while the sources are few."""
+    c = cuts.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
+    j = rows.join(F.broadcast(c) if _small(cuts) else c, rows[source].cast("string").eqNullSafe(F.col("__source")))
+    copies = F.col("__whole") + (hash48(rows[key]) < F.col("__threshold")).cast("long")
+    return j.withColumn("__copies", copies).drop("__source", "__whole", "__threshold")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies): how many words and copies of each row the mix takes."""
+    rows = docs.select(docs[key].alias("doc_id"), docs[source].cast("string").alias("source"), n_words(docs[text]).alias("size"))
+    mixed = with_copies(rows, source_cuts(docs, weights, repeats, text, source, key))
+    return mixed.select(
+        "doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        (F.col("__copies") * F.col("size")).alias("taken"), F.col("__copies").alias("copies"),
     )
-    c = cut.withColumnRenamed("source", "s_")
-    j = sizes.join(F.broadcast(c) if _small(cut) else c, F.col("source").eqNullSafe(F.col("s_")))
-    copies = F.col("whole") + (F.col("u") < F.col("threshold")).cast("long")
-    return j.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))

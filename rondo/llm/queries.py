@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .common import table
+from .decontam import build, matches
 from .fst_tokens import count_tokens
+from .html_content import main_texts
 from .langid import identify, train
 from .mixing import mix_sources
 from .mpeg import digests as audio_digests
@@ -31,6 +33,11 @@ def op2_neardup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark, sf_dir):
+    """Main text of every page, by marginals of a tree-structured model."""
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_count(spark, sf_dir):
     """Tokens of every text by the compiled finite-state tokenizer."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
@@ -52,6 +59,12 @@ def op7_langid(spark, sf_dir):
     return identify(docs, train(docs))
 
 
+def op8_decontam(spark, sf_dir):
+    """Documents and the benchmark items found in them, by latent semantic retrieval and alignment."""
+    docs = table(spark, sf_dir, "documents")
+    return matches(docs, build(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op9_mix(spark, sf_dir):
     """Words that the mix takes of each document, by hash-threshold histograms."""
     out = mix_sources(table(spark, sf_dir, "documents"))
@@ -86,5 +99,5 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.u = k.u
 """
 
-QUERIES = {"op1_rans": op1_rans, "op2_neardup": op2_neardup, "op4_count": op4_count, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op7_langid": op7_langid, "op9_mix": op9_mix, "op10_shard": op10_shard}
+QUERIES = {"op1_rans": op1_rans, "op2_neardup": op2_neardup, "op3_html": op3_html, "op4_count": op4_count, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op7_langid": op7_langid, "op8_decontam": op8_decontam, "op9_mix": op9_mix, "op10_shard": op10_shard}
 SQL = {"op9_mix": OP9_SQL}

@@ -72,7 +72,11 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 def many(texts: list[str | None]):
     """Yield (start, stop, hashes, bounds): words of texts[start:stop], bounds[i]:bounds[i + 1] those of the i-th."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return many_bytes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+
+
+def many_bytes(raw: list[bytes]):
+    """The same of byte strings."""
     for s, e in chunks([len(r) for r in raw], AT_ONCE):
         if e - s == 1:
             h = word_hashes(raw[s])
