@@ -27,7 +27,8 @@ def bankers(c: Column, digits: int) -> Column:
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    """Missing stays missing (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
 def length2(dx: Column, dy: Column) -> Column:
