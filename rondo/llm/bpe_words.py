@@ -16,14 +16,25 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept per process, some 200 bytes each. Once full, the first, hence mostly frequent, words stay.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Longer words are encoded anew each time.
 LONGEST = 40
+#: Trailing characters that the pattern always parts from a letter or digit before them.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_uneven = re.compile(r"\s\s|\A\s|\s\Z").search
+_odd_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 _between = re.compile(r"(?<=\S) (?=\S)").split
 
 
+def _split(text: str) -> list[list[str]]:
+    """The words of each line; if any white space isn't single, one line whose words hold the rest of it."""
+    lines = [x.split(" ") for x in text.split("\n")]
+    odd = any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _odd_space(text)
+    if odd or any("" in x for x in lines):
+        return [_between(text)]
+    return lines
+
+
 class WordEncoder:
     """ids(texts): for each text, the ids that the library's encode(text, add_special_tokens=False) gives."""
 
@@ -39,32 +50,46 @@ class WordEncoder:
         self.limit = cache
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.newline = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, cache: dict[str, bytes], prefix: str, words: Iterable[str]) -> dict[str, bytes]:
-        """A table that has all these words: the cache, or once that is full a copy of what is needed of it."""
-        known = set(words)
-        new = list(known.difference(cache))
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+    def _encode_all(self, prefix: str, words: list[str]) -> Iterable[bytes]:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             e = self.tokenizer.encode([prefix + w for w in part], is_pretokenized=True, add_special_tokens=False)
             ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part))) * self.dtype.itemsize
             raw, begin = np.asarray(e.ids, self.dtype).tobytes(), 0
-            for w, end in zip(part, ends.tolist()):
-                fresh[w], begin = raw[begin:end], end
-        keep = {w: b for w, b in fresh.items() if len(w) <= LONGEST}
-        if len(keep) == len(fresh) and len(self.spaced) + len(self.bare) + len(keep) <= self.limit:
-            cache.update(keep)
-            return cache
-        table = {w: cache[w] for w in known.difference(fresh)}
-        table.update(fresh)
-        if len(self.spaced) + len(self.bare) + len(keep) <= self.limit:
-            cache.update(keep)
-        return table
+            for end in ends.tolist():
+                yield raw[begin:end]
+                begin = end
+
+    def _learn(self, cache: dict[str, bytes], prefix: str, words: Iterable[str]) -> list[str]:
+        """Put all these words into the cache; returns those it must not keep."""
+        new = set(words).difference(cache)
+        ended: list[tuple[str, str]] = []
+        plain = set()
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            if core and len(core) < len(w) and (core[-1].isalpha() or core[-1].isdecimal()):
+                ended.append((w, core))
+                if core not in cache:
+                    plain.add(core)
+            else:
+                plain.add(w)
+        todo = list(plain)
+        cache.update(zip(todo, self._encode_all(prefix, todo)))
+        tails = {w[len(core):] for w, core in ended}.difference(self.tails)
+        self.tails.update(zip(tails := list(tails), self._encode_all("", tails)))
+        for w, core in ended:
+            cache[w] = cache[core] + self.tails[w[len(core):]]
+        if len(self.tails) > self.limit:
+            self.tails.clear()
+        added = plain | new
+        room = self.limit - len(self.spaced) - len(self.bare)
+        return [w for w in added if len(w) > LONGEST] if room >= 0 else list(added)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -77,19 +102,22 @@ class WordEncoder:
             elif self.special(t):
                 out[i] = np.frombuffer(self._encode(t), self.dtype)
             else:
-                lines = [_between(t)] if _uneven(t) else [x.split(" ") for x in t.split("\n")]
+                lines = _split(t)
                 split.append((i, lines))
                 for x in lines:
                     heads.append(x[0])
                     rests += x[1:]
-        bare, spaced = self._learn(self.bare, "", heads), self._learn(self.spaced, " ", rests)
-        of = spaced.__getitem__
+        once = self._learn(self.bare, "", heads), self._learn(self.spaced, " ", rests)
+        bare, of = self.bare, self.spaced.__getitem__
         for i, lines in split:
             parts = []
             for x in lines:
                 words = iter(x)
                 parts += [self.newline, bare[next(words)], *map(of, words)]
             out[i] = np.frombuffer(b"".join(parts[1:]), self.dtype)
+        for cache, words in zip((self.bare, self.spaced), once):
+            for w in words:
+                del cache[w]
         return out
 
 

@@ -35,7 +35,11 @@ class Table:
             raise ValueError("frequencies don't sum to the scale")
         self.f = self.freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.f)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
+        # One look-up a step: symbol, frequency and start share a number, by symbol and by slot.
+        symbol = np.arange(len(self.freq), dtype=np.uint64)
+        self.both = self.f << np.uint64(20) | self.start
+        slots = np.repeat(symbol << np.uint64(40) | self.f << np.uint64(20), self.freq)
+        self.slot = slots | (np.arange(1 << SCALE, dtype=np.uint64) - np.repeat(self.start, self.freq))
         self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
 
     @classmethod
@@ -67,16 +71,16 @@ def _encode(ids: np.ndarray, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndarr
     words = np.empty(ids.shape, np.uint32)
     out = np.empty(ids.shape, bool)
     states = np.empty((blocks, -(-steps // EVERY), lanes), np.uint64)
-    k, most, w = np.uint64(SCALE), np.uint64(63 - SCALE), np.uint64(32)
+    k, most, w, low = np.uint64(SCALE), np.uint64(63 - SCALE), np.uint64(32), np.uint64((1 << 20) - 1)
     for i in range(steps - 1, -1, -1):
-        s = ids[:, i]
-        f = t.f[s]
+        both = t.both[ids[:, i]]
+        f = both >> np.uint64(20)
         full = x >= f << most
         words[:, i] = x.astype(np.uint32)
         out[:, i] = full
         x = np.where(full, x >> w, x)
         q = x // f
-        x = (q << k) + (x - q * f) + t.start[s]
+        x = (q << k) + (x - q * f) + (both & low)
         if i % EVERY == 0:
             states[:, i // EVERY] = x
     return words, out, states
@@ -85,12 +89,11 @@ def _encode(ids: np.ndarray, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _decode(x: np.ndarray, words: np.ndarray, pos: np.ndarray, steps: int, t: Table) -> tuple[np.ndarray, np.ndarray]:
     """States (blocks, LANES) and first word of each block -> ids (blocks, steps, LANES) and the words' end."""
     ids = np.empty((len(x), steps, x.shape[1]), np.uint32)
-    k, w, mask = np.uint64(SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1)
+    k, w, mask, low = np.uint64(SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1), np.uint64((1 << 20) - 1)
     for i in range(steps):
-        slot = x & mask
-        s = t.symbol[slot]
-        ids[:, i] = s
-        x = t.f[s] * (x >> k) + slot - t.start[s]
+        v = t.slot[x & mask]
+        ids[:, i] = v >> np.uint64(40)
+        x = (v >> np.uint64(20) & low) * (x >> k) + (v & low)
         need = x < LOW
         nth = np.cumsum(need, axis=1)
         at = (pos[:, None] + nth - 1)[need]

@@ -105,6 +105,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: st
         spark.createDataFrame([(shared.crc, bytearray(shared.freq.astype("<u4").tobytes()))], "table_crc long, freq binary"), "tokens-table"
     )
     parts = raw.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
+    # One row per partition of the range shuffle: bounded by the number of tasks, whatever the data.
     base = parts.select("pid", F.coalesce(F.sum("n").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     freq = shared.freq.astype("<u4").tobytes()
     width = "<u2" if size <= 1 << 16 else "<u4"
@@ -119,7 +120,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: st
                     ["start", "n_tokens", "segment"],
                 )
 
-    coded = raw.select("pid", "first", "n_tokens", "doc_ids", "lens", "ids").join(base, "pid").mapInArrow(code, "start long, n_tokens long, segment binary")
+    coded = raw.select("pid", "first", "n_tokens", "doc_ids", "lens", "ids").join(F.broadcast(base), "pid").mapInArrow(code, "start long, n_tokens long, segment binary")
     segments = materialize(coded, "tokens-segments", "none")
     release(raw)
     return segments, table
