@@ -107,8 +107,8 @@ def iso_lines(faces: DataFrame, vertices: DataFrame, field: DataFrame, levels: l
     ends = F.filter(F.array(*[cross(F.col(f"p{a}"), F.col(f"p{b}")) for a, b in ("ab", "bc", "ca")]), lambda e: e.isNotNull())
     f = f.select("level", "face", ends.alias("e")).filter(F.size("e") == 2)
     unit = lambda s: F.transform(F.array(s["x"], s["y"], s["z"]), lambda v: v / F.sqrt(s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"]))
-    f = f.select("level", "face", unit(F.col("e")[0]).alias("u"), unit(F.col("e")[1]).alias("w"))
-    dot = F.least(F.greatest(sum(F.col("u")[i] * F.col("w")[i] for i in range(3)), F.lit(-1.0)), F.lit(1.0))
+    f = f.select("level", "face", unit(F.get("e", F.lit(0))).alias("u"), unit(F.get("e", F.lit(1))).alias("w"))
+    dot = F.least(F.greatest(sum(F.get("u", F.lit(i)) * F.get("w", F.lit(i)) for i in range(3)), F.lit(-1.0)), F.lit(1.0))
     f = f.withColumn("angle", F.acos(dot)).filter("angle > 1e-5")
     n = F.least(F.lit(most - 1), F.greatest(F.lit(1), F.ceil(F.col("angle") / step).cast("int")))
     t = F.transform(F.sequence(F.lit(0), n), lambda i: i / n)
