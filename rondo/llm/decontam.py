@@ -6,7 +6,7 @@
    back, Z = A' A R, and the sum of Z gives singular vectors and values by the Nystrom formula: a distributed randomised SVD.
 3. Passages are runs of blocks at every block boundary, in several lengths. Each is compared with every benchmark item of about its
    length by cosine in the latent space; passages at COSINE or more are candidates.
-4. A candidate that shares enough TF-IDF weight with the item is aligned with it, words around it included: the longest
+4. A candidate that shares enough TF-IDF weight of rare terms with the item is aligned with it, words around it included: the longest
    common subsequence must cover NEAR of the item's words, or PARAPHRASE of them where the item's rarest terms, which
    hold the answer, are there too.
 
@@ -32,6 +32,8 @@ from . import wordhash
 
 BLOCK, RANK, SPANS = 12, 32, (2, 4, 6)
 COSINE, SHARED, NEAR, PARAPHRASE = 0.4, 0.4, 0.75, 0.5
+#: Inverse frequency from which a term counts as rare (in one block of 400 or fewer); only rare terms make shared weight.
+RARE = 6.0
 ANSWER_TERMS, ANSWER_SHARE, LONGEST, SHORTEST = 4, 0.75, 60, 6
 _rng_seed = 11
 #: ASCII punctuation counts as white space.
@@ -193,12 +195,13 @@ class Checker:
             if mine:
                 v = np.stack([self._vector(items.words[k]) for k in mine])
                 self.groups.append((blocks, np.array(mine), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)))
-        self.total = np.array([float(space.idf[np.unique(w)].sum()) for w in items.words])
+        rare = space.idf >= RARE
+        self.total = np.array([float((space.idf * rare)[np.unique(w)].sum()) for w in items.words])
         self.answer = [w[np.sort(np.unique(w, return_index=True)[1])] for w in items.words]
         self.answer = [a[np.argsort(-space.idf[a], kind="stable")[:ANSWER_TERMS]] for a in self.answer]
         self.lists = [w.tolist() for w in items.words]
         m = len(items.terms)
-        pairs = np.array([(t, k) for k in usable for t in np.unique(items.words[k])], np.int64).reshape(-1, 2)
+        pairs = np.array([(t, k) for k in usable for t in np.unique(items.words[k]) if rare[t]], np.int64).reshape(-1, 2)
         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
         self.item_of, self.from_ = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(m + 1))
 
@@ -219,40 +222,51 @@ class Checker:
     def _find(self, h, at, term, block, first):
         n_blocks = int(first[-1])
         idf, basis = self.space.idf, self.space.basis
-        start = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
-        y = np.zeros((n_blocks + 1, basis.shape[1]), np.float32)
-        y[block[start] + 1] = np.add.reduceat(basis[term] * idf[term, None], start, axis=0)
-        sums = np.cumsum(y, axis=0, dtype=np.float64)
         text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         best: dict[tuple[int, object], tuple] = {}
+        count = self.from_[term + 1] - self.from_[term]
+        which = np.repeat(np.arange(len(term)), count)
+        item = self.item_of[np.repeat(self.from_[term], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
+        heavy = np.concatenate([[0], np.cumsum(np.bincount(block, idf[term] * (idf[term] >= RARE), minlength=n_blocks))])
         for blocks, mine, unit in self.groups:
             a = np.arange(n_blocks)
             b = np.minimum(a + blocks, first[text_of + 1])
-            v = (sums[b] - sums[a]).astype(np.float32)
-            length = np.linalg.norm(v, axis=1, keepdims=True)
-            cos = (v / np.maximum(length, 1e-12)) @ unit.T
+            # A passage whose rare terms weigh less than any item asks for can't match; the others are searched.
+            live = np.flatnonzero(heavy[b] - heavy[a] >= SHARED * self.total[mine].min() * (1 - 1e-9))
+            if not len(live):
+                continue
+            needed = np.zeros(n_blocks, bool)
+            for k in range(blocks):
+                needed[np.minimum(live + k, n_blocks - 1)] = True
+            some = needed[block]
+            tb, tt = block[some], term[some]
+            y = np.zeros((n_blocks + 1, basis.shape[1]))
+            if len(tb):
+                start = np.flatnonzero(np.concatenate([[True], np.diff(tb) != 0]))
+                y[tb[start] + 1] = np.add.reduceat(basis[tt] * idf[tt, None], start, axis=0)
+            sums = np.cumsum(y, axis=0)
+            v = (sums[b[live]] - sums[live]).astype(np.float32)
+            cos = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ unit.T
             candidate = cos >= COSINE
-            # Weight that each candidate shares with its item: distinct terms of the passage, spread to items that have them.
-            member = np.zeros(len(self.items.words), bool)
-            member[mine] = True
+            # Weight that each candidate shares with its item: terms of the passage, spread to the items that have them.
             column = np.full(len(self.items.words), -1)
             column[mine] = np.arange(len(mine))
-            count = self.from_[term + 1] - self.from_[term]
-            which = np.repeat(np.arange(len(term)), count)
-            item = self.item_of[np.repeat(self.from_[term], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
-            keep = member[item] & (idf[term[which]] > 1.0)
-            which, item = which[keep], item[keep]
-            if not len(which):
-                continue
-            weight = np.zeros(candidate.shape, np.float32)
-            for back in range(blocks):
-                p = block[which] - back
-                ok = (p >= 0) & (text_of[np.maximum(p, 0)] == text_of[block[which]])
-                # A term that occurs twice in a passage may count twice here; the alignment below decides.
-                np.add.at(weight, (p[ok], column[item[ok]]), idf[term[which[ok]]])
+            row = np.full(n_blocks, -1)
+            row[live] = np.arange(len(live))
+            keep = column[item] >= 0
+            w, t, c = which[keep], term[which[keep]], column[item[keep]]
+            # A term lies in the passages that begin at its block or up to blocks - 1 before, in the same text. One that
+            # occurs twice in a passage may count twice here; the alignment below decides.
+            p = block[w][:, None] - np.arange(blocks)
+            ok = p >= first[text_of[block[w]]][:, None]
+            p = np.where(ok, row[np.maximum(p, 0)], -1)
+            ok = p >= 0
+            cell = p * len(mine) + c[:, None]
+            weight = np.bincount(cell[ok], np.broadcast_to(idf[t][:, None], p.shape)[ok], minlength=len(live) * len(mine)).reshape(len(live), len(mine))
             rows, cols = np.nonzero(candidate & (weight >= SHARED * self.total[mine]))
             tried = set()
-            for p, c in zip(rows.tolist(), cols.tolist()):
+            for at_row, c in zip(rows.tolist(), cols.tolist()):
+                p = int(live[at_row])
                 k, i = int(mine[c]), int(text_of[p])
                 n = len(self.lists[k])
                 lo, hi = at[i] + (p - first[i]) * BLOCK - n, at[i] + (p - first[i] + blocks) * BLOCK + n
@@ -265,7 +279,7 @@ class Checker:
                 common = lcs(self.lists[k], words.tolist())
                 answer = int(np.isin(self.answer[k], words).sum())
                 if common >= NEAR * n or common >= PARAPHRASE * n and answer >= ANSWER_SHARE * len(self.answer[k]):
-                    found = (float(cos[p, c]), common, n, answer)
+                    found = (float(cos[at_row, c]), common, n, answer)
                     if name not in best or (found[1] / found[2], found[0]) > (best[name][1] / best[name][2], best[name][0]):
                         best[name] = found
         return [(i, k, *v) for (i, k), v in sorted(best.items(), key=lambda x: (x[0][0], str(x[0][1])))]
