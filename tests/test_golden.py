@@ -179,8 +179,8 @@ def test_npy_and_level_files(spark, tmp_path):
     np.save(tmp_path / "a.npy", np.arange(6, dtype="float32").reshape(3, 2))
     assert [r["vector"] for r in tag_files.read_npy(spark, str(tmp_path / "a.npy")).orderBy("row").collect()] == [[0, 1], [2, 3], [4, 5]]
     (tmp_path / "levels").mkdir()
-    (tmp_path / "levels" / "7.osu").write_text("﻿" + LEVEL)
-    (tmp_path / "levels" / "8.osu").write_text("no level")
+    (tmp_path / "levels" / "7.txt").write_text("﻿" + LEVEL)
+    (tmp_path / "levels" / "8.txt").write_text("no level")
     assert [r["map_id"] for r in level_text.read_levels(spark, str(tmp_path / "levels")).collect()] == ["7"]
 
 
