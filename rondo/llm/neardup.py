@@ -1,14 +1,15 @@
 """Near-duplicates by b-bit MinHash (operator 2).
 
-1. Every document becomes its set of word shingles; sets become BANDS * ROWS minima, of which the low BITS bits are packed
-   into a signature, and each band of ROWS minima into a key. Documents with equal sets are one node from here on.
+1. Every document becomes its set of word shingles; sets become K minima, of which the low BITS bits are packed into a
+   signature, and the first BANDS * ROWS of them, ROWS at a time, into band keys. Documents with equal sets are one node
+   from here on.
 2. Nodes that share a band key are candidates. Round one pairs each node with the smallest of its bucket only, so a
    bucket of any size gives as many pairs as it has nodes.
 3. The share of agreeing b-bit values, corrected for chance agreement, estimates the similarity by bit counts; pairs far
-   below the threshold (six standard deviations) go.
+   below the threshold (SIGMAS standard deviations: 1 in 3 million at the threshold) go.
 4. Pairs left are confirmed on the full sets, beside each other in salted groups of at most GROUP documents.
-5. Round two takes the pairs of a bucket that round one left in different components, in blocks of BLOCK nodes against
-   blocks, with the estimate as join condition, and confirms those. So each candidate pair is either confirmed or denied on
+5. Round two takes the pairs of a bucket that round one left with different labels, in blocks of BLOCK nodes against
+   blocks, with the estimate as join condition and each pair only in the first band that it shares, and confirms those. So each candidate pair is either confirmed or denied on
    full sets, or already connected: no link is lost, and no group is expanded into all of its pairs.
 6. Components follow by large-star and small-star steps on tables.
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from . import wordhash
 from .common import materialize, release
 
-BANDS, ROWS, BITS = 24, 4, 2
-K = BANDS * ROWS
+BANDS, ROWS, BITS, SIGMAS = 24, 4, 2, 5
+K = 256
 GROUP, BLOCK = 64, 256
 #: Up to so many ids the confirmation's document filter is broadcast (8 bytes each); beyond, texts are shuffled.
 BROADCAST_IDS = 500_000
@@ -60,7 +61,7 @@ def packed(m: np.ndarray) -> np.ndarray:
 def band_keys(m: np.ndarray) -> np.ndarray:
     h = np.full((len(m), BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(ROWS):
-        h = wordhash.mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, r::ROWS].astype(np.uint64))
+        h = wordhash.mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, r : BANDS * ROWS : ROWS].astype(np.uint64))
     return h
 
 
@@ -103,10 +104,10 @@ def estimate(a: str, b: str) -> F.Column:
 
 
 def floor_of(threshold: float) -> float:
-    """Six standard deviations below the threshold."""
+    """SIGMAS standard deviations of the estimate below the threshold."""
     chance = 2.0**-BITS
     p = threshold + (1 - threshold) * chance
-    return threshold - 6 * (p * (1 - p) / K) ** 0.5 / (1 - chance)
+    return threshold - SIGMAS * (p * (1 - p) / K) ** 0.5 / (1 - chance)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -182,10 +183,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 80, den: int = 1
         .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         "dup-nodes",
     )
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(buckets.join(heads, "key").select("key", "node", "head"), "dup-shared")
-    sig = nodes.groupBy("node").agg(F.first("sig").alias("sig"))  # a doc_id with two texts is one node
+    shared = materialize(buckets.join(heads, "key").select("key", "band", "node", "head"), "dup-shared")
+    # A doc_id with two texts is one node. 32 bits of each band key tell in which band a pair meets first.
+    sig = nodes.groupBy("node").agg(F.first("sig").alias("sig"), F.first(F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))).alias("heads"))
 
     def near(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
@@ -194,18 +196,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 80, den: int = 1
 
     stars = shared.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(near(stars), body, words, num, den)
-    first = components(links)
-    # Buckets that still hold several components.
-    at = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    # Labels by two steps of propagation: all that they must do is to spare round two pairs that are connected already.
+    one = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    two = links.join(one.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
+    first = materialize(one.union(two).groupBy("node").agg(F.min("label").alias("component")), "dup-labels")
+    at = shared.join(first, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
     open_ = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
     rest = at.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(sig, "node")
     rest = materialize(rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dup-rest")
-    left = rest.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"))
-    right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"))
+    left = rest.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"), F.col("heads").alias("ha"), "band")
+    right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("heads").alias("hb"))
+    met = F.exists(F.zip_with(F.slice("ha", F.lit(1), F.col("band")), F.slice("hb", F.lit(1), F.col("band")), lambda x, y: x == y), lambda z: z)
     cross = left.join(
         right,
         (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & (F.col("ca") != F.col("cb"))
-        & ((left.i != left.j) | (F.col("a") < F.col("b"))) & (estimate("sa", "sb") >= floor),
+        & ((left.i != left.j) | (F.col("a") < F.col("b"))) & (estimate("sa", "sb") >= floor) & ~met,
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Pairs of round one that were denied needn't be looked at again.
     again = confirmed(cross.distinct().join(stars, ["a", "b"], "left_anti"), body, words, num, den)
