@@ -260,10 +260,7 @@ def test_chunk_maps_compose_in_any_grouping():
         if at is None:
             return fst_tokens.ChunkMap(piece)
         s, n = m.run(piece[at:])
-        head = fst_tokens.ChunkMap(piece[:at])
-        full = fst_tokens.ChunkMap(piece[: at + 1])
-        del head
-        return fst_tokens.ChunkMap(full.head, n, s)
+        return fst_tokens.ChunkMap(piece[: at + 1], n, s)
 
     maps = [chunk_map(text[i : i + 4]) for i in range(0, len(text), 4)]
     left = maps[0]
