@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 MAX_DOCS, BUCKETS, ALPHA, SWITCH = 4000, 1 << 16, 0.05, 14.0
-AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1 << 21
+#: Characters split at once, and word scores (words times languages) held for one Viterbi pass: 4 bytes each.
+AT_ONCE, SCORES_AT_ONCE = 1 << 18, 1 << 21
 #: Least share of a script among a language's training letters for the language to use it.
 USES = 0.005
 # First code points of Unicode's script ranges, in order; 0 is what no range holds.
@@ -121,7 +122,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH) ->
     live = np.searchsorted(-size, -np.arange(steps), side="left")
     best_before = np.zeros(len(scores), np.int16)
     switched = np.zeros(scores.shape, bool)
-    delta = np.zeros((len(size), scores.shape[1]), np.float64)
+    delta = np.zeros((len(size), scores.shape[1]))
     for t in range(steps):
         m = live[t]
         d, at = delta[:m], begin[:m] + t
@@ -190,18 +191,19 @@ def label(model: Model, texts: list[str | None]):
     """Yield for each group of texts (start, stop, words, label of each word)."""
     if not model.langs:
         return
-    held, start, total, stop = [], 0, 0, 0
+    held, start, total = [], 0, 0
     for s, e in chunks([len(t or "") for t in texts], max(1 << 14, AT_ONCE * 4 // max(4, len(model.langs)))):
         w = split(texts[s:e])
-        held.append((s, w, model.word_scores(w)))
-        total, stop = total + len(w.first), e
-        if total * len(model.langs) >= WORDS_AT_ONCE * 4 or e == len(texts):
-            scores = np.concatenate([x for _, _, x in held])
-            text = np.concatenate([w.text + s - start for s, w, _ in held])
-            bounds = np.searchsorted(text, np.arange(stop - start + 1))
-            begin, end = (np.concatenate([getattr(w, k) for _, w, _ in held]) for k in ("begin", "end"))
-            yield start, stop, text, begin, end, viterbi(scores, bounds)
-            held, start, total = [], stop, 0
+        # Trigrams go as soon as words are scored; what is held of a word is its score and place.
+        held.append(((w.text + s - start).astype(np.int32), w.begin.astype(np.int32), w.end.astype(np.int32), model.word_scores(w)))
+        total += len(w.first)
+        del w
+        if total * len(model.langs) >= SCORES_AT_ONCE or e == len(texts):
+            text, begin, end, scores = (np.concatenate(x) for x in zip(*held))
+            held = []
+            bounds = np.searchsorted(text, np.arange(e - start + 1))
+            yield start, e, text, begin, end, viterbi(scores, bounds)
+            start, total = e, 0
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +255,7 @@ def spans(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
                 first = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(best) != 0)]))
                 last = np.append(first[1:], len(best)) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(owner[first] + s)), pa.array(begin[first]), pa.array(end[last]), pa.array([model.langs[k] for k in best[first]])],
+                    [keys.take(pa.array(owner[first] + s)), pa.array(begin[first], pa.int64()), pa.array(end[last], pa.int64()), pa.array([model.langs[k] for k in best[first]])],
                     ["doc_id", "start", "end", "lang"],
                 )
 
