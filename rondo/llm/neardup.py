@@ -3,13 +3,16 @@
 1. Every document becomes its set of word shingles; sets become K minima, of which the low BITS bits are packed into a
    signature, and the first BANDS * ROWS of them, ROWS at a time, into band keys. Documents with equal sets are one node
    from here on.
-2. Nodes that share a band key are candidates. Round one pairs each node with the smallest of its bucket only, so a
-   bucket of any size gives as many pairs as it has nodes.
+2. Nodes that share a band key are candidates. Round one pairs each node with the smallest of all its buckets, one pair
+   a node; then with the smallest of each bucket, where that bears another label by now. A bucket of any size gives
+   at most as many pairs as it has nodes.
 3. The share of agreeing b-bit values, corrected for chance agreement, estimates the similarity by bit counts; pairs far
    below the threshold (SIGMAS standard deviations: 1 in 3 million at the threshold) go.
 4. Pairs left are confirmed on the full sets, beside each other in salted groups of at most GROUP documents.
 5. Round two takes the pairs of a bucket that round one left with different labels, in blocks of BLOCK nodes against
-   blocks, with the estimate as join condition and each pair only in the first band that it shares, and confirms those. So each candidate pair is either confirmed or denied on
+   blocks, with the estimate as join condition and each pair only in the first band that it shares, and confirms those.
+   The nodes of such buckets get a second, longer signature of WIDE minima first: large groups just below the
+   threshold would otherwise leave most of their pairs to be confirmed. So each candidate pair is either confirmed or denied on
    full sets, or already connected: no link is lost, and no group is expanded into all of its pairs.
 6. Components follow by large-star and small-star steps on tables.
 
@@ -30,32 +33,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import materialize, release
+from .common import chunks, materialize, release
 
 BANDS, ROWS, BITS, SIGMAS = 24, 4, 2, 5
-K = 256
+K, WIDE = 256, 2048
 GROUP, BLOCK = 64, 256
 #: Up to so many ids the confirmation's document filter is broadcast (8 bytes each); beyond, texts are shuffled.
 BROADCAST_IDS = 500_000
 _rng = np.random.default_rng(77)
-_MUL = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(1, 1 << 63, K, dtype=np.uint64)
-LONGS = K * BITS // 64
+_MUL = _rng.integers(1, 1 << 63, K + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(1, 1 << 63, K + WIDE, dtype=np.uint64)
 PAIRS = 0x5555555555555555
 
 
-def minima(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(documents, K) minima of non-empty sets that lie one after another."""
-    out = np.empty((len(starts), K), np.uint32)
-    for k in range(K):
-        out[:, k] = np.minimum.reduceat((sets * _MUL[k] + _ADD[k]) >> np.uint64(32), starts)
+def minima(sets: np.ndarray, starts: np.ndarray, first: int = 0, k: int = K) -> np.ndarray:
+    """(documents, k) minima of non-empty sets that lie one after another, under hash functions first to first + k - 1."""
+    out = np.empty((len(starts), k), np.uint32)
+    for i in range(k):
+        out[:, i] = np.minimum.reduceat((sets * _MUL[first + i] + _ADD[first + i]) >> np.uint64(32), starts)
     return out
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    """(documents, LONGS): the low BITS bits of each minimum."""
-    bits = (m & ((1 << BITS) - 1)).astype(np.uint64).reshape(len(m), LONGS, 64 // BITS)
-    return (bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+    """The low BITS bits of each minimum, 64 bits to a word."""
+    per = 64 // BITS
+    bits = (m & ((1 << BITS) - 1)).astype(np.uint64).reshape(len(m), m.shape[1] // per, per)
+    return (bits << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
@@ -93,21 +96,42 @@ def signatures(docs: DataFrame, words: int = 4, text: str = "text", key: str = "
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SIGS)
 
 
-def estimate(a: str, b: str) -> F.Column:
-    """Collision-corrected similarity of two signature columns by bit counts."""
+def estimate(a: str, b: str, k: int = K) -> F.Column:
+    """Collision-corrected similarity of two signature columns of k minima by bit counts."""
     differ = sum(
         F.bit_count(((t := F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))).bitwiseOR(F.shiftrightunsigned(t, 1))).bitwiseAND(F.lit(PAIRS)))
-        for i in range(LONGS)
+        for i in range(k * BITS // 64)
     )
     chance = 2.0**-BITS
-    return ((1 - differ / K) - chance) / (1 - chance)
+    return ((1 - differ / k) - chance) / (1 - chance)
 
 
-def floor_of(threshold: float) -> float:
+def floor_of(threshold: float, k: int = K) -> float:
     """SIGMAS standard deviations of the estimate below the threshold."""
     chance = 2.0**-BITS
     p = threshold + (1 - threshold) * chance
-    return threshold - SIGMAS * (p * (1 - p) / K) ** 0.5 / (1 - chance)
+    return threshold - SIGMAS * (p * (1 - p) / k) ** 0.5 / (1 - chance)
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of distinct ids. While they are few the ids are broadcast and no text is shuffled."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def wide_signatures(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, wide): packed signatures of WIDE further minima."""
+
+    def run(batches):
+        for b in batches:
+            texts, keys = b.column(1).to_pylist(), b.column(0)
+            for s, e, h, at in wordhash.many(texts):
+                sets = [wordhash.shingles(h[x:y], words) for x, y in zip(at[:-1], at[1:])]
+                for x, y in chunks([1] * len(sets), 256):  # WIDE minima of so many sets are 2 MB
+                    m = minima(np.concatenate(sets[x:y]), np.cumsum([0, *map(len, sets[x : y - 1])]), K, WIDE)
+                    yield pa.RecordBatch.from_arrays([keys[s + x : s + y], pa.array(packed(m).view(np.int64).tolist(), pa.list_(pa.int64()))], ["node", "wide"])
+
+    return texts_of(ids, docs).select("doc_id", "text").mapInArrow(run, "node long, wide array<bigint>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -119,8 +143,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("n"))
     salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("n")).cast("int"))
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.dropDuplicates(["doc_id"]) if not few else docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = texts_of(ids, docs)
     wanted = salted.select(F.col("b").alias("doc_id"), "a", "salt").union(
         salts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
     )
@@ -194,26 +217,42 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 80, den: int = 1
         with_b = with_a.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         return with_b.filter(estimate("sa", "sb") >= floor)
 
-    stars = shared.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(near(stars), body, words, num, den)
-    # Labels by two steps of propagation: all that they must do is to spare round two pairs that are connected already.
-    one = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-    two = links.join(one.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
-    first = materialize(one.union(two).groupBy("node").agg(F.min("label").alias("component")), "dup-labels")
+    def labels(links: DataFrame) -> DataFrame:
+        """Three steps of propagation towards smaller nodes: all that labels must do is to spare pairs connected already."""
+        lab = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+        for _ in range(2):
+            up = links.join(lab.select(F.col("node").alias("a"), "component"), "a").select(F.col("b").alias("node"), "component")
+            lab = lab.union(up).groupBy("node").agg(F.min("component").alias("component"))
+        return materialize(lab, "dup-labels")
+
+    inner = shared.filter("node != head")
+    once = inner.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")).select("a", "b")
+    links = confirmed(near(once), body, words, num, den)
+    first = labels(links)
+    of_head = first.select(F.col("node").alias("head"), F.col("component").alias("other"))
+    stars = inner.join(first, "node", "left").join(of_head, "head", "left").filter(F.coalesce("component", "node") != F.coalesce("other", "head"))
+    stars = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct().join(once, ["a", "b"], "left_anti")
+    links = links.union(confirmed(near(stars), body, words, num, den))
+    first = labels(links)
+    tried = once.union(stars)
     at = shared.join(first, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
     open_ = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    rest = at.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(sig, "node")
+    rest = at.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    rest = materialize(rest, "dup-open")
+    wide = materialize(wide_signatures(rest.select(F.col("node").alias("doc_id")).distinct(), body, words), "dup-wide")
+    rest = rest.join(sig, "node").join(wide, "node")
     rest = materialize(rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dup-rest")
-    left = rest.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"), F.col("heads").alias("ha"), "band")
-    right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("heads").alias("hb"))
+    left = rest.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"), F.col("heads").alias("ha"), F.col("wide").alias("wa"), "band")
+    right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("heads").alias("hb"), F.col("wide").alias("wb"))
     met = F.exists(F.zip_with(F.slice("ha", F.lit(1), F.col("band")), F.slice("hb", F.lit(1), F.col("band")), lambda x, y: x == y), lambda z: z)
     cross = left.join(
         right,
         (left.key == right.key) & (left.i == right.i) & (left.j == right.j) & (F.col("ca") != F.col("cb"))
-        & ((left.i != left.j) | (F.col("a") < F.col("b"))) & (estimate("sa", "sb") >= floor) & ~met,
+        & ((left.i != left.j) | (F.col("a") < F.col("b"))) & (estimate("sa", "sb") >= floor) & ~met
+        & (estimate("wa", "wb", WIDE) >= floor_of(num / den, WIDE)),
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Pairs of round one that were denied needn't be looked at again.
-    again = confirmed(cross.distinct().join(stars, ["a", "b"], "left_anti"), body, words, num, den)
+    again = confirmed(cross.distinct().join(tried, ["a", "b"], "left_anti"), body, words, num, den)
     label = components(links.union(again))
     by_set = nodes.select("set_hash", "node").join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
