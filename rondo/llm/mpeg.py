@@ -6,8 +6,9 @@ length and an Info frame with frame count, byte count and seek table. Any decode
 comes back.
 
 Parsing handles ID3v2, ID3v1 and APEv2 tags, Xing/Info and VBRI tables, MPEG 1, 2 and 2.5 in layers I to III, and
-damage: where no header stands, it searches on for the next header that another one follows. Durations are exact
-(samples over rate), seek offsets are the frames' byte offsets, and CRC-16 is verified where a frame has one.
+damage: where no header stands, it searches on for the next header that another one follows. A tag at the end counts
+only if no frame of the chain reaches into it, so a payload may look like one. Durations are exact (samples over rate),
+seek offsets are the frames' byte offsets, and CRC-16 is verified where a frame has one, in all three layers.
 
 Edge cases: null and empty texts store 192 spaces; equal texts give equal bytes; media that is null or holds no frame
 gives 0 frames, duration 0 and an empty payload; repeated rows stay; an empty table gives no rows; other columns are
@@ -124,51 +125,123 @@ def _vbr_table(frame: bytes, h: dict) -> dict | None:
     return None
 
 
+#: Layer II: (subbands, bits of an allocation) by table; the last is that of MPEG 2 and 2.5.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(h: dict) -> list[int]:
+    """Bits of the allocation of each subband in a Layer I or II frame."""
+    if h["layer"] == 1:
+        return [4] * 32
+    if h["version"] != 1:
+        table = "lsf"
+    else:
+        per_channel = h["bits"] // (1 if h["mono"] else 2)
+        low = per_channel < 56_000
+        table = ("d" if h["hz"] == 32000 else "c") if low else "b" if per_channel >= 96_000 and h["hz"] != 48000 else "a"
+    return [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+
+
+def protected(frame: bytes, h: dict) -> str:
+    """The bits under the CRC of a frame: the header's second half, then side information, or allocations and scale factor selection."""
+    said = "".join(f"{b:08b}" for b in frame[2:4])
+    if h["layer"] == 3:
+        return said + "".join(f"{b:08b}" for b in frame[6 : 6 + h["side"]])
+    sizes, mode = _allocation(h), frame[3] >> 6
+    apart = 0 if mode == 3 else min(len(sizes), (frame[3] >> 4 & 3) * 4 + 4) if mode == 1 else len(sizes)
+    body = "".join(f"{b:08b}" for b in frame[6:150])  # 32 * 2 allocations of 4 bits and as many selections of 2
+    at = chosen = 0
+    for k, n in enumerate(sizes):
+        for _ in range(2 if k < apart else 1):
+            # From the joint bound on, both channels share an allocation and each has its own scale factors.
+            chosen += (1 if mode == 3 or k < apart else 2) * ("1" in body[at : at + n])
+            at += n
+    return said + body[: at + (2 * chosen if h["layer"] == 2 else 0)]
+
+
+@lru_cache(4096)
+def crc16_bits(bits: str) -> int:
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (POLY if c >> 15 ^ (b == "1") else 0)
+    return c
+
+
+def _intact(frame: bytes, h: dict) -> bool:
+    c = crc16(frame[2:4] + frame[6 : 6 + h["side"]]) if h["layer"] == 3 else crc16_bits(protected(frame, h))
+    return c == frame[4] << 8 | frame[5]
+
+
+def _frames(data: bytes, at: int, end: int):
+    """(offset, header, whether it is the first) of the frames, and (length, None, False) of what is skipped."""
+    kind, synced = None, False
+    while at + 4 <= end:
+        h = header(data[at : at + 4])
+        fits = h is not None and at + h["size"] <= end and (kind is None or h["kind"] == kind)
+        if fits and not synced:  # a first header, or one after damage, counts if another follows or the stream ends
+            after = at + h["size"]
+            nxt = header(data[after : after + 4]) if after + 4 <= end else None
+            fits = after == end or nxt is not None and nxt["kind"] == h["kind"]
+        if not fits:
+            nxt = data.find(b"\xff", at + 1, end)
+            nxt = end if nxt < 0 else nxt
+            yield nxt - at, None, False
+            at, synced = nxt, False
+            continue
+        yield at, h, kind is None
+        kind, synced = h["kind"], True
+        at += h["size"]
+    if at < end:
+        yield end - at, None, False
+
+
+def _reached(data: bytes, at: int, end: int, tag: int) -> bool:
+    """Whether a frame that another one or the end follows reaches into a supposed tag; then it isn't one."""
+    for x, h, _ in _frames(data, at, end):
+        if h is not None and x + h["size"] > tag:
+            after = x + h["size"]
+            nxt = header(data[after : after + 4]) if after + 4 <= end else None
+            return after == end or nxt is not None and nxt["kind"] == h["kind"]
+    return False
+
+
 def parse(data: bytes | None) -> dict:
     """Tags, VBR table, exact duration, CRC results, skipped bytes, frame offsets and ancillary payload of a stream."""
     data = data or b""
     at, tags = _id3v2(data)
     end = len(data)
-    if data[-128:-125] == b"TAG" and end - 128 >= at:
+    if data[-128:-125] == b"TAG" and end - 128 >= at and not _reached(data, at, end, end - 128):
         end -= 128
         tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
-    if data[end - 32 : end - 24] == b"APETAGEX":
+    if data[end - 32 : end - 24] == b"APETAGEX" and end - 32 >= at:
         n = int.from_bytes(data[end - 20 : end - 16], "little")
-        end = max(at, end - n - (32 if data[end - 9] & 0x80 else 0))
+        start = max(at, end - n - (32 if data[end - 9] & 0x80 else 0))
+        if not _reached(data, at, end, start):
+            end = start
     offsets: list[int] = []
     payload: list[bytes] = []
     first = vbr = None
     samples = good = bad = skipped = 0
-    synced = False
-    while at + 4 <= end:
-        h = header(data[at : at + 4])
-        fits = h is not None and at + h["size"] <= end and (first is None or h["kind"] == first["kind"])
-        if fits and not synced:  # a first header, or one after damage, counts if another follows or the stream ends
-            after = at + h["size"]
-            nxt = header(data[after : after + 4]) if after + 4 <= end else None
-            fits = after == end or nxt is not None and nxt["kind"] == h["kind"]
-        if not fits:
-            nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
-            skipped, at, synced = skipped + nxt - at, nxt, False
+    for at, h, is_first in _frames(data, at, end):
+        if h is None:
+            skipped += at
             continue
         frame = data[at : at + h["size"]]
-        if first is None:
+        if is_first:
             first = h
             vbr = _vbr_table(frame, h) if h["layer"] == 3 else None
             if vbr:
-                at, synced = at + h["size"], True
                 continue
-        synced = True
         if h["crc"]:
-            ok = h["layer"] != 3 or crc16(frame[2:4] + frame[6 : 6 + h["side"]]) == frame[4] << 8 | frame[5]
+            ok = _intact(frame, h)
             good, bad = good + ok, bad + (not ok)
         offsets.append(at)
         samples += h["samples"]
         if h["layer"] == 3 and not any(frame[6 : 6 + h["side"]]):  # no main data: all that follows is ancillary
             payload.append(frame[6 + h["side"] : 6 + h["side"] + UNIT])
-        at += h["size"]
-    skipped += end - at if at < end else 0
     hz = first["hz"] if first else 1
     return {
         "tags": tags, "vbr": vbr, "first": first, "frames": len(offsets), "samples": samples, "hz": hz,

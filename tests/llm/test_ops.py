@@ -311,6 +311,50 @@ def test_audio_damage_and_tags():
     assert mpeg.header(b"\xff\xfb\x90\x00")["size"] == 417 and mpeg.header(b"\xff\xff\xff\xff") is None
 
 
+def test_audio_payload_may_look_like_a_tag():
+    for n in (1, 3):
+        for at in range(190):
+            raw = ("a" * (192 * (n - 1) + at) + "TAG").ljust(192 * n, "b")
+            p = mpeg.parse(mpeg.store(raw))
+            assert (p["payload"].decode(), p["frames"], p["skipped"], p["crc_bad"]) == (raw, n, 0, 0)
+            assert "TIT2" not in p["tags"]
+            if n > 1 and at == 89:  # the same with a real tag behind, and with an APEv2 tag before that
+                ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + bytes(16)
+                q = mpeg.parse(mpeg.store(raw) + ape + b"TAG" + b"Title".ljust(125, b"\0"))
+                assert (q["payload"].decode(), q["frames"], q["skipped"], q["tags"]["TIT2"]) == (raw, n, 0, "Title")
+
+
+@pytest.mark.parametrize("head, body, bits", [
+    ("fffe24c0", "00", 128),  # layer I, mono: 32 allocations of 4 bits
+    ("fffe2440", "00", 144),  # layer I, joint from subband 4 on
+    ("fffe2400", "f0", 256),  # layer I, stereo
+    ("fffc44c0", "00", 88),  # layer II, mono at 48 kHz: 11 * 4 + 12 * 3 + 4 * 2
+    ("fffc44c0", "30", 90),  # and one allocated subband
+    ("fffc8450", "00" * 8 + "70", 124),  # layer II, joint from subband 8 on, which is allocated in both channels
+    ("fff44440", "00", 91),  # MPEG 2, layer II, joint from 4 on: 4 * 8 + 7 * 3 + 19 * 2
+])
+def test_audio_crc_of_layers_one_and_two(head, body, bits):
+    head = bytes.fromhex(head)
+    h = mpeg.header(head)
+    body = bytearray(bytes.fromhex(body).ljust(h["size"] - 6, b"\0"))
+    stream = "".join(f"{b:08b}" for b in head[2:] + body)[: 16 + bits]
+    c = 0xFFFF
+    for b in stream:  # the plain register
+        out = c >> 15 ^ int(b)
+        c = c << 1 & 0xFFFF ^ 0x8005 * out
+
+    def frames():
+        return (head + c.to_bytes(2, "big") + bytes(body)) * 3
+
+    p = mpeg.parse(frames())
+    assert (p["frames"], p["crc_ok"], p["crc_bad"]) == (3, 3, 0)
+    body[-1] ^= 1  # samples aren't under the CRC
+    assert mpeg.parse(frames())["crc_bad"] == 0
+    last = (bits - 1) // 8
+    body[last] ^= 0x80 >> (bits - 1) % 8
+    assert mpeg.parse(frames())["crc_bad"] == 3
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
