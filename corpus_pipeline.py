@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rondo.llm import decontam, langid, mixing, neardup, token_output
-from rondo.llm.common import shared_dir, table
+from rondo.llm.common import materialize, shared_dir, table
 from rondo.llm.queries import public_tokenizer
 
 
@@ -24,9 +24,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest doc_id; repeated rows become one."""
-    gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group stays, that with the smallest doc_id; rows equal in doc_id and text become one.
+
+    Rows that share a doc_id but not the text are documents of their own. Similarity is op2's: four-word shingles, 0.8.
+    """
+    digest = F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit("")))
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    several = ids.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi")
+    extra = materialize(ids.join(several, "doc_id").filter("digest != lo").select("doc_id", "digest").distinct(), "pipeline-extra")
+    if extra.isEmpty():
+        gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+        named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+        return named.select(*docs.columns).union(docs.filter("doc_id is null"))
+    # The first text keeps the doc_id as its node, each further one gets a node that no doc_id has.
+    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    node = F.lit(high) + 1 + number if high < 1 << 62 else F.lit(low) - 1 - number
+    extra = materialize(extra.select("doc_id", "digest", node.alias("__node")), "pipeline-nodes")
+    key = extra.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__node")
+    at = docs.filter("doc_id is not null").withColumn("__md5", digest)
+    at = at.join(key, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__md5") == F.col("__digest")), "left")
+    at = at.withColumn("__node", F.coalesce("__node", F.col("doc_id").cast("long"))).select(*docs.columns, "__node")
+    found = neardup.near_duplicates(at, key="__node").select(F.col("doc_id").alias("__node"), "component_id").distinct()
+    found = found.join(extra.select("__node", "doc_id"), "__node", "left").withColumn("doc_id", F.coalesce("doc_id", "__node"))
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__node")).alias("first")).select("first.__node")
+    named = at.join(kept, "__node", "left_semi").dropDuplicates(["__node"])
     return named.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 

@@ -42,6 +42,20 @@ def test_stages(spark, tmp_path):
     assert sorted((tuple(r) for r in tokens.collect()), key=lambda r: r[1]) == expected_tokens(out[-2])
 
 
+def test_repeated_ids_with_different_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(120)]
+    one, two, three = (" ".join(f"{p}{w}" for w in words) for p in "abc")
+    near = one.replace("aw60", "other")
+    rows = [(1, one), (5, near), (5, two), (5, two), (7, three), (9, two), (9, "something else that nothing is like"), (7, three + " end"), (None, one)]
+    docs = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = store(P.near_dedup(spark, docs, SF), tmp_path / "out")
+    assert got.columns == docs.columns
+    kept = Bag((r["doc_id"], r["text"]) for r in got.collect())
+    third = [t for k, t in kept if k == 7]
+    assert len(third) == 1 and third[0] in (three, three + " end")
+    assert kept - Bag([(7, third[0])]) == Bag([(1, one), (5, two), (9, "something else that nothing is like"), (None, one)])
+
+
 def test_awkward_documents(spark, tmp_path):
     rows = [(i, t, None, None, None, 1, 2, 3, b"") for i, t in enumerate(["Hello there my good old friend", "Hello there my good old friend", "", None, "ß"])] + [(None, "A text without any key at all", None, None, None, 1, 2, 3, b"")] * 2
     docs = spark.createDataFrame(rows, SCHEMA)
