@@ -49,9 +49,10 @@ def knn(queries: DataFrame, qkey: str, qvec: str, base: DataFrame, key: str, vec
 def infonce(pairs: DataFrame, temperature: float = 0.1) -> DataFrame:
     """Symmetric contrastive loss of rows (batch, item, a, b): views a and b of an item are each other's positive.
 
-    Every view meets the other views of its batch only, and batches are small by design.
+    Every view meets the other views of its batch only, and batches are small by design. An item with one view, as at
+    the end of a last, partial batch, is a negative of the others and has no loss of its own.
     """
-    views = pairs.select("batch", "item", F.lit(0).alias("side"), unit(F.col("a")).alias("v")).union(pairs.select("batch", "item", F.lit(1), unit(F.col("b"))))
+    views = pairs.select("batch", "item", F.lit(0).alias("side"), unit(F.col("a")).alias("v")).union(pairs.select("batch", "item", F.lit(1), unit(F.col("b")))).filter("v is not null")
     other = views.select(F.col("batch").alias("b2"), F.col("item").alias("i2"), F.col("side").alias("s2"), F.col("v").alias("v2"))
     j = views.join(other, (F.col("batch") == F.col("b2")) & ((F.col("item") != F.col("i2")) | (F.col("side") != F.col("s2"))))
     s = j.withColumn("s", dot(F.col("v"), F.col("v2")) / temperature)
@@ -85,22 +86,11 @@ def fitted_values(fit: DataFrame) -> dict[str, tuple[float, float, float]]:
     return {r["feature"]: (r["median"], r["mean"], r["std"]) for r in fit.collect()}
 
 
-def covariance(rows: DataFrame, vector: str, dims: int) -> DataFrame:
-    """(i, j, cov): population covariance of the first dims positions, i <= j."""
-    cols = [F.element_at(vector, k + 1).cast("double") for k in range(dims)]
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    one = rows.agg(*[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i, j in pairs])).alias("s")).select("s.*")
-
-
-def pca(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Coordinates on the first k principal axes, centred; the largest loading of each axis is positive.
-
-    Means and products of positions are aggregated per task; a dims x dims matrix reaches the driver.
-    """
+def moments(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, population covariance) of all positions. Sums and products are made per task; a dims x dims matrix reaches the driver."""
     dims = len(rows.select(vector).first()[0])
 
-    def moments(batches):
+    def sums(batches):
         import pandas as pd
 
         n, s, p = 0, np.zeros(dims), np.zeros((dims, dims))
@@ -110,11 +100,25 @@ def pca(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
         if n:
             yield pd.DataFrame({"i": range(dims), "n": n, "s": s, "p": list(p)})
 
-    parts = rows.select(vector).mapInPandas(moments, "i int, n long, s double, p array<double>")
+    parts = rows.select(vector).mapInPandas(sums, "i int, n long, s double, p array<double>")
     got = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *[F.sum(F.col("p")[j]).alias(f"p{j}") for j in range(dims)]).orderBy("i").collect()
     n = got[0]["n"]
     mean = np.array([r["s"] for r in got]) / n
-    cov = np.array([[r[f"p{j}"] for j in range(dims)] for r in got]) / n - np.outer(mean, mean)
+    return mean, np.array([[r[f"p{j}"] for j in range(dims)] for r in got]) / n - np.outer(mean, mean)
+
+
+def covariance(rows: DataFrame, vector: str, dims: int | None = None) -> DataFrame:
+    """(i, j, cov): population covariance of all positions, or of the first dims, i <= j."""
+    _, cov = moments(rows, vector)
+    dims = len(cov) if dims is None else dims
+    data = [(i, j, float(cov[i, j])) for i in range(dims) for j in range(i, dims)]
+    return rows.sparkSession.createDataFrame(data, "i int, j int, cov double")
+
+
+def pca(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """Coordinates on the first k principal axes, centred; the largest loading of each axis is positive."""
+    mean, cov = moments(rows, vector)
+    dims = len(mean)
     _, vec = np.linalg.eigh(cov)
     axes = vec[:, ::-1][:, :k]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(k)])

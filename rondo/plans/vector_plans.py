@@ -7,7 +7,7 @@ from ..operators import clustering as C
 from ..operators import density as D
 from ..operators import vectors as V
 from .adapters import r
-from .registry import query, table
+from .registry import SQL, query, table
 
 DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 
@@ -45,7 +45,16 @@ def knn_join(spark, sf):
 j AS (SELECT a.batch, a.item, a.side, b.item AS i2, {DOT.format(a='a.e', b='b.e')} / a.n / b.n / 0.1e0 AS s FROM v a JOIN v b ON a.batch = b.batch AND (a.item <> b.item OR a.side <> b.side)),
 w AS (SELECT batch, item, side, ln(sum(exp(s))) - max(s) FILTER (i2 = item) AS l FROM j GROUP BY ALL) SELECT batch, {r('avg(l)')} AS loss FROM w GROUP BY batch""")
 def pairwise_infonce(spark, sf):
-    e = _emb(spark, sf).filter("vec_id < 480")
+    return _infonce(_emb(spark, sf).filter("vec_id < 480"))
+
+
+@query("pairwise_infonce_all", SQL["pairwise_infonce"].replace(" WHERE vec_id < 480", ""))
+def pairwise_infonce_all(spark, sf):
+    """All embeddings; the last batch may be partial."""
+    return _infonce(_emb(spark, sf))
+
+
+def _infonce(e):
     p = e.withColumn("item", F.expr("vec_id div 2")).withColumn("batch", F.expr("vec_id div 32")).groupBy("batch", "item").agg(
         F.max(F.when(F.col("vec_id") % 2 == 0, F.col("embedding"))).alias("a"), F.max(F.when(F.col("vec_id") % 2 == 1, F.col("embedding"))).alias("b"))
     return V.infonce(p).select("batch", R(F.col("loss")).alias("loss"))
@@ -78,6 +87,12 @@ def covariance_matrix(spark, sf):
     return V.covariance(_emb(spark, sf), "embedding", 8).select("i", "j", R(F.col("cov"), 8).alias("cov"))
 
 
+@query("covariance_matrix_all", SQL["covariance_matrix"].replace("range(8)", "range(64)"))
+def covariance_matrix_all(spark, sf):
+    """All positions."""
+    return V.covariance(_emb(spark, sf), "embedding").select("i", "j", R(F.col("cov"), 8).alias("cov"))
+
+
 @query("pca_2d")
 def pca_2d(spark, sf):
     return V.pca(_emb(spark, sf), "vec_id", "embedding", 2)

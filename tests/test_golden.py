@@ -205,3 +205,21 @@ def test_everything_imports_without_llm():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['rondo.llm'] = None; sys.modules['corpus_pipeline'] = None; import rondo.plans as p; p.load_all(); from rondo.plans.registry import QUERIES; assert len(QUERIES) > 60"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_whole_table_vector_queries(spark):
+    from rondo.plans import load_all
+    from rondo.plans.registry import QUERIES
+
+    load_all()
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert QUERIES["pairwise_infonce_all"](spark, sf).count() == -(-n // 32) > 15
+    assert QUERIES["covariance_matrix_all"](spark, sf).count() == 64 * 65 // 2
+
+
+def test_contrastive_loss_of_a_partial_batch(spark):
+    rows = [(0, 0, [1.0, 0.0], [0.8, 0.6]), (0, 1, [0.0, 1.0], None), (1, 2, [1.0, 1.0], None)]
+    got = {r["batch"]: r["loss"] for r in vectors.infonce(spark.createDataFrame(rows, "batch int, item int, a array<double>, b array<double>"), 1.0).collect()}
+    a, b = math.log(math.exp(0.8) + math.exp(0.0)) - 0.8, math.log(math.exp(0.8) + math.exp(0.6)) - 0.8
+    assert got == {0: pytest.approx((a + b) / 2, abs=1e-6)}
