@@ -32,10 +32,11 @@ AT_ONCE = 1 << 20
 
 # Element names by the role that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object select button textarea title head".split())
+RAW = frozenset("script style iframe textarea title noembed noframes xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var".split()
+    "time tt u var "
+    "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mpadded mphantom menclose semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -46,10 +47,12 @@ SCOPE = frozenset("table ul ol dl html body article section div td th".split())
 KINDS = {
     "text": (), "article": ("article", "main"), "nav": ("nav", "menu"), "edge": ("header", "footer"), "aside": ("aside",), "form": ("form", "fieldset"),
     "list": ("ul", "ol", "dl"), "item": ("li", "dt", "dd"), "head": ("h1", "h2", "h3", "h4", "h5", "h6"), "par": ("p", "blockquote", "pre", "figcaption"),
-    "table": ("table", "thead", "tbody", "tr", "td", "th"), "box": (),
+    "table": ("table", "thead", "tbody", "tr", "td", "th"), "control": ("button", "select", "svg", "template"), "box": (),
 }
 KIND_OF = {t: i for i, (_, tags) in enumerate(KINDS.items()) for t in tags}
 TEXT, BOX = 0, len(KINDS) - 1
+#: Nodes of their own within a running text, which goes on behind them.
+CONTROL = frozenset(KINDS["control"])
 # Words in class, id and role values, by what they say about an element.
 SAYS = {
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs skip",
@@ -112,6 +115,7 @@ def parse(page: str | None) -> Tree:
     root = tree.add(-1, BOX, "#root")
     stack: list[tuple[str, int]] = [("#root", root)]  # open elements; inline ones share their block's node
     held: list[str] = []
+    outer: list[tuple[list[str], int]] = []  # text held, and how much of it is linked, around each open control
     linked = links = 0
 
     def flush():
@@ -124,12 +128,18 @@ def parse(page: str | None) -> Tree:
         linked = 0
 
     def close(upto: int):
-        nonlocal links
-        for name, _ in stack[upto:]:
-            links -= name == "a"
+        nonlocal links, linked
         if any(name not in INLINE for name, _ in stack[upto:]):
             flush()
-        del stack[upto:]
+        while len(stack) > upto:
+            name = stack[-1][0]
+            links -= name == "a"
+            if name not in INLINE:
+                flush()
+            del stack[-1]
+            if name in CONTROL:  # the text around it goes on
+                before, linked = outer.pop()
+                held.extend(before)
 
     page = page or ""
     at, end = 0, len(page)
@@ -155,14 +165,11 @@ def parse(page: str | None) -> Tree:
                     break
             continue
         if name in RAW:
-            if name == "head":
-                continue
-            if name not in INLINE:
-                e = _END_RAW[name].search(page, at)
-                if not page[m.start() : at].rstrip(">").endswith("/") or name in ("script", "style"):
-                    at = e.end() if e else end
+            e = _END_RAW[name].search(page, at)
+            if not page[m.start() : at].rstrip(">").endswith("/") or name in ("script", "style"):
+                at = e.end() if e else end
             continue
-        if name in ("html", "body"):
+        if name in ("html", "head", "body"):
             continue
         if name in VOID:
             if name == "hr":
@@ -173,6 +180,8 @@ def parse(page: str | None) -> Tree:
             stack.append((name, stack[-1][1]))
             links += name == "a"
             continue
+        if outer and name in CLOSES_P:  # a control that was not closed ends where a block begins
+            close(next(i for i, (x, _) in enumerate(stack) if x in CONTROL))
         if name in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
@@ -187,12 +196,20 @@ def parse(page: str | None) -> Tree:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table"):
                     break
-        flush()
         attributes = m[3] or ""
+        if name in CONTROL:
+            if attributes.rstrip().endswith("/"):
+                continue
+            outer.append((held[:], linked))
+            held.clear()
+            linked = 0
+        else:
+            flush()
         node = tree.add(stack[-1][1], KIND_OF.get(name, BOX), name, named(attributes) if attributes.strip() else ())
         if "data-label" in attributes:
             tree.mark.append((node, attributes.split('data-label="')[1].split('"')[0]))
         stack.append((name, node))
+    close(1)
     flush()
     return tree
 

@@ -237,6 +237,26 @@ def test_html_edges(spark):
     assert html_content.main_texts(d.limit(0)).count() == 0
 
 
+def test_html_drops_no_content_unseen(spark):
+    body = "<h1>A title of the story</h1><p>The first paragraph has some words in it, and a stop.</p><p>Where {} holds, the second one goes on to its end.</p>"
+    first, second = "A title of the story\n\nThe first paragraph has some words in it, and a stop.", "Where {} holds, the second one goes on to its end."
+    page = "<body><nav><ul><li><a>Home</a></li></ul></nav>{}<article>" + body + "</article><footer>&copy; 2020 Us</footer></body>"
+    cases = {
+        1: (page.format("", "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>"), "x=2"),
+        2: (page.format("", "it<button>Copy</button>"), "it"),
+        3: (page.format("", "<svg><path d='x'/><g><text>Label</text></g></svg>it"), "it"),
+        **{k: (page.format(f"<{n}>", "it"), "it") for k, n in enumerate(("button", "select", "svg", "template", "object", "math", "noscript"), 4)},
+        11: (page.format("<div><select><option>One<option>Two</div>", "it"), "it"),
+    }
+    d = spark.createDataFrame([(k, None, h) for k, (h, _) in cases.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_content.main_texts(d).collect()}
+    assert got == {k: f"{first}\n\n{second.format(w)}" for k, (_, w) in cases.items()}
+    for n in ("object", "noscript"):
+        inside = page.format("", "it").replace("<p>The", f"<{n}><p>The").replace("stop.</p>", f"stop.</p></{n}>")
+        tree = html_content.parse(inside)
+        assert any("first paragraph" in (t or "") for t in tree.text)
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
