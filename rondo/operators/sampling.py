@@ -36,3 +36,29 @@ def lod_levels(rows: DataFrame, key: str, sizes: tuple[int, ...], seed: int = 20
 def batches(rows: DataFrame, key: str, size: int = 50) -> DataFrame:
     """Batch number of each row in key order, within ranges of the key so that no task numbers all rows."""
     return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(F.floor(F.col(key) / (size * 1000))).orderBy(key)) - 1) / size))
+
+
+#: Rows that are sampled for the bounds of numeric_order, and parts that they make.
+BOUNDS_FROM, PARTS = 20_000, 64
+
+
+def numeric_order(ids: DataFrame, key: str) -> DataFrame:
+    """(pos, key): position of all ids, whole numbers first and by value, then the others as text.
+
+    Bounds from a sample deal the ids into ranges; the ranges' row counts give offsets, so no task sees all ids.
+    """
+    number = F.col(key).try_cast("bigint")
+    order = F.struct(number.isNull().alias("text"), F.coalesce(number, F.lit(0)).alias("number"), F.col(key).alias("id"))
+    rows = ids.select(F.col(key), order.alias("__o"))
+    n = rows.count()
+    some = rows if n <= BOUNDS_FROM else rows.sample(BOUNDS_FROM / n, seed=7)
+    got = sorted({(r["text"], r["number"], r["id"]) for r in some.select("__o.*").filter("id is not null").collect()})
+    cuts = sorted({got[k * len(got) // PARTS] for k in range(1, PARTS)}) if got else []
+    at = [F.struct(F.lit(t).alias("text"), F.lit(x).cast("bigint").alias("number"), F.lit(i).alias("id")) for t, x, i in cuts]
+    part = F.size(F.filter(F.array(*at), lambda c: c <= F.col("__o"))) if at else F.lit(0)
+    dealt = rows.withColumn("__p", part)
+    sizes = {r["__p"]: r["count"] for r in dealt.groupBy("__p").count().collect()}  # one row a range
+    base = [sum(c for q, c in sizes.items() if q < k) for k in range(len(cuts) + 1)]
+    inside = F.row_number().over(W.partitionBy("__p").orderBy("__o"))
+    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("__p") + 1)
+    return dealt.select((offset + inside).alias("pos"), key)

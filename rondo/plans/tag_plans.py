@@ -6,7 +6,7 @@ from ..functions import scalars as S
 from ..functions.scalars import rounded as R
 from ..operators import sampling, tags
 from .adapters import r
-from .registry import query, table
+from .registry import SQL, query, table
 
 TAGS_SQL = """tags AS (SELECT DISTINCT o_custkey AS map_id, p_brand AS tag FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size <= 3),
 members AS (SELECT c_custkey AS map_id, c_nationkey AS cluster FROM customer)"""
@@ -40,6 +40,29 @@ def cluster_best_tags(spark, sf):
     return tags.best_tags(d, 2)
 
 
+def _rich(sql):
+    """SQL over all line items; brand and type make the tags sparse instead."""
+    return sql.replace("p_brand AS tag", "p_brand || ' ' || p_type AS tag").replace(" WHERE p_size <= 3", "")
+
+
+def _rich_tags(spark, sf):
+    o, l, p = (table(spark, sf, t) for t in ("orders", "lineitem", "part"))
+    j = o.join(l, o.o_orderkey == l.l_orderkey).join(p, l.l_partkey == p.p_partkey)
+    return j.select(F.col("o_custkey").alias("map_id"), F.concat_ws(" ", "p_brand", "p_type").alias("tag")).distinct()
+
+
+@query("tag_enrichment_all", _rich(SQL["tag_enrichment"]))
+def tag_enrichment_all(spark, sf):
+    d = tags.enrichment(_members(spark, sf), _rich_tags(spark, sf))
+    return d.select("cluster", "tagged", "tag", "tag_count", *[R(F.col(c)).alias(c) for c in ("frac", "frac_all", "enrichment")])
+
+
+@query("cluster_best_tags_all", _rich(SQL["cluster_best_tags"]))
+def cluster_best_tags_all(spark, sf):
+    d = tags.enrichment(_members(spark, sf), _rich_tags(spark, sf)).withColumn("enrichment", R(F.col("enrichment"), 9))
+    return tags.best_tags(d, 2)
+
+
 @query("cluster_top_labels", """WITH w AS (SELECT c_nationkey AS cluster, CASE o_orderstatus WHEN 'F' THEN 'genre' WHEN 'O' THEN 'pattern' ELSE 'other' END AS category, o_orderpriority AS name, count(*) AS w
  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY cluster, category ORDER BY w DESC, lower(name), name) AS rank FROM w),
 p AS (SELECT cluster, string_agg(name, ' / ' ORDER BY rank) FILTER (category = 'genre' AND rank <= 2) AS g, string_agg(name, ' / ' ORDER BY rank) FILTER (category = 'pattern' AND rank <= 2) AS p,
@@ -140,6 +163,14 @@ def numeric_aware_sort(spark, sf):
     return s.select(F.row_number().over(W.orderBy(F.col("s").try_cast("bigint").asc_nulls_last(), "s")).cast("bigint").alias("pos"), "s")
 
 
+@query("numeric_aware_sort_all", SQL["numeric_aware_sort"].replace(" WHERE p_size < 3", ""))
+def numeric_aware_sort_all(spark, sf):
+    """All parts."""
+    k = F.col("p_partkey").cast("string")
+    s = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("x"), k)).otherwise(k).alias("s"))
+    return sampling.numeric_order(s, "s")
+
+
 H = "substr(md5({k}::VARCHAR || ':2025'), 1, 15)"
 
 

@@ -223,3 +223,28 @@ def test_contrastive_loss_of_a_partial_batch(spark):
     got = {r["batch"]: r["loss"] for r in vectors.infonce(spark.createDataFrame(rows, "batch int, item int, a array<double>, b array<double>"), 1.0).collect()}
     a, b = math.log(math.exp(0.8) + math.exp(0.0)) - 0.8, math.log(math.exp(0.8) + math.exp(0.6)) - 0.8
     assert got == {0: pytest.approx((a + b) / 2, abs=1e-6)}
+
+
+def test_numeric_order_over_many_ranges(spark, monkeypatch):
+    from rondo.operators import sampling
+
+    monkeypatch.setattr(sampling, "BOUNDS_FROM", 100)
+    ids = [str(i * 7 - 900) if i % 5 else f"x{i}" for i in range(700)] + ["007", "é", "", None]
+    got = sampling.numeric_order(spark.createDataFrame([(i,) for i in ids], "id string").repartition(5), "id").orderBy("pos").collect()
+
+    def rank(s):
+        n = int(s) if s and s.lstrip("-").isdigit() else None
+        return n is None, n or 0, s is not None, s or ""
+
+    assert [r["pos"] for r in got] == list(range(1, len(ids) + 1)) and [r["id"] for r in got] == sorted(ids, key=rank)
+
+
+def test_all_parts_and_line_items(spark):
+    from rondo.plans import load_all
+    from rondo.plans import tag_plans
+    from rondo.plans.registry import QUERIES
+
+    load_all()
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["numeric_aware_sort_all"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
+    assert tag_plans._rich_tags(spark, sf).select("map_id").distinct().count() == spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
