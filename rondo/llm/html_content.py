@@ -7,10 +7,10 @@ marginal exceeds one half are the text. The weights maximise the conditional lik
 pages from a seeded grammar of page layouts, whose labels are known. That set is bounded and independent of the corpus.
 
 Parsing is lenient: unclosed and crossed tags, raw script and style bodies, quoted angle brackets and comments
-are taken as browsers do, near enough. Blocks join by two newlines; white space inside a block becomes one space.
+are taken as browsers do, near enough, and it takes time in proportion to the page however broken that is. Blocks join by two newlines; white space inside a block becomes one space.
 
 Edge cases: null and empty pages give an empty text; markup without text gives an empty text; a page without any markup is one
-block; repeated rows get equal texts; an empty table gives no rows; other columns are ignored.
+block; a tag that never ends is text; repeated rows get equal texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ from .common import chunks
 
 LABELLED, ROUNDS, RATE, DECAY, SEED = 400, 150, 0.5, 1e-3, 5
 AT_ONCE = 1 << 20
+#: Elements nested deeper hang on the parent of the one at this depth, as in browsers.
+DEEPEST = 512
 
 # Element names by the role that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,9 +72,10 @@ SAYS = {
 }
 SAY_OF = {w: k for k, words in SAYS.items() for w in words.split()}
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: In a tag: its end, or a quoted value. A quote elsewhere is a character like others.
+_IN_TAG = re.compile(r""">|=\s*(["'])""")
+_MARK = re.compile(r"""\bdata-label\s*=\s*["']?([01])\b""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -88,17 +92,24 @@ class Tree:
     says: list[tuple] = field(default_factory=list)
     text: list[str | None] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
-    mark: list[str] = field(default_factory=list)  # data-label of labelled pages
+    depth: list[int] = field(default_factory=list)
+    mark: list[tuple[int, str]] = field(default_factory=list)  # data-label of labelled pages
 
     def add(self, parent: int, kind: int, tag: str, says: tuple = (), text: str | None = None, linked: int = 0) -> int:
-        for column, value in zip((self.parent, self.kind, self.tag, self.says, self.text, self.linked), (parent, kind, tag, says, text, linked)):
+        if parent >= 0 and self.depth[parent] == DEEPEST:
+            parent = self.parent[parent]
+        depth = self.depth[parent] + 1 if parent >= 0 else 0
+        for column, value in zip((self.parent, self.kind, self.tag, self.says, self.text, self.linked, self.depth), (parent, kind, tag, says, text, linked, depth)):
             column.append(value)
         return len(self.parent) - 1
 
 
-@lru_cache(8192)
 def named(attributes: str) -> tuple[str, ...]:
     """What the class, id and role values of an element say."""
+    return _kept(attributes) if len(attributes) <= 200 else _said(attributes)
+
+
+def _said(attributes: str) -> tuple[str, ...]:
     out = set()
     for m in _NAMED.finditer(attributes):
         for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
@@ -110,113 +121,176 @@ def named(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
-def parse(page: str | None) -> Tree:
-    tree = Tree()
-    root = tree.add(-1, BOX, "#root")
-    stack: list[tuple[str, int]] = [("#root", root)]  # open elements; inline ones share their block's node
-    held: list[str] = []
-    outer: list[tuple[list[str], int]] = []  # text held, and how much of it is linked, around each open control
-    linked = links = 0
+_kept = lru_cache(8192)(_said)
+
+
+class Tokens:
+    """The tokens of a page from left to right: (text before, name or None, whether it closes, attributes).
+
+    Each character is passed a bounded number of times: once a tag was found to have no end with its quotes respected, tags
+    end at their next angle bracket; once no bracket is left, the rest is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at, self.loose = page, 0, False
+        self.last = page.rfind(">")
 
-    def flush():
-        nonlocal linked
-        if held:
-            block = " ".join(entities.unescape("".join(held)).split())
+    def skip_raw(self, name: str) -> None:
+        """Past the end tag of a raw-text element, or to the end of the page."""
+        e = _END_RAW[name].search(self.page, self.at)
+        self.at = e.end() if e else len(self.page)
+
+    def _end(self, at: int) -> int:
+        """Place of the bracket that ends the tag whose attributes begin at a place, at or before self.last."""
+        page, start = self.page, at
+        while not self.loose:
+            m = _IN_TAG.search(page, at)
+            if not m:
+                self.loose = True
+            elif not m[1]:
+                return m.start()
+            else:
+                at = page.find(m[1], m.end()) + 1
+                self.loose = at == 0
+        return page.find(">", start)
+
+    def __iter__(self):
+        page, begin = self.page, 0
+        while (lt := page.find("<", self.at)) >= 0:
+            name, closes, attributes = None, False, ""
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                end = len(page) if end < 0 else end + 3
+            elif lt > self.last:
+                break
+            elif page[lt + 1 : lt + 2] in ("!", "?"):
+                end = page.find(">", lt) + 1
+            elif m := _NAME.match(page, lt):
+                end = self._end(m.end()) + 1
+                name, closes, attributes = m[1].lower(), page[lt + 1] == "/", page[m.end() : end - 1]
+            else:
+                self.at = lt + 1
+                continue
+            self.at = end
+            yield page[begin:lt], name, closes, attributes
+            begin = self.at
+        yield page[begin:], None, False, ""
+
+
+class Builder:
+    """The open elements of a page while its tree grows. Inline ones share the node of the block that they are in."""
+
+    def __init__(self):
+        self.tree = Tree()
+        self.stack: list[tuple[str, int]] = [("#root", self.tree.add(-1, BOX, "#root"))]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements, by name
+        self.blocks = [0]  # places of those that aren't inline
+        self.scopes = [0]  # places of those that a paragraph's end doesn't reach over
+        self.held: list[str] = []
+        self.outer: list[tuple[list[str], int]] = []  # text held, and how much of it is linked, around each open control
+        self.linked = 0
+
+    def text(self, text: str) -> None:
+        if text:
+            self.held.append(text)
+            if self.places["a"]:
+                self.linked += len(text)
+
+    def flush(self) -> None:
+        if self.held:
+            block = " ".join(entities.unescape("".join(self.held)).split())
             if block:
-                tree.add(stack[-1][1], TEXT, stack[-1][0], (), block, linked)
-            held.clear()
-        linked = 0
-
-    def close(upto: int):
-        nonlocal links, linked
-        if any(name not in INLINE for name, _ in stack[upto:]):
-            flush()
-        while len(stack) > upto:
-            name = stack[-1][0]
-            links -= name == "a"
+                self.tree.add(self.stack[-1][1], TEXT, self.stack[-1][0], (), block, self.linked)
+            self.held = []
+        self.linked = 0
+
+    def push(self, name: str, node: int) -> None:
+        at = len(self.stack)
+        self.places[name].append(at)
+        if name not in INLINE:
+            self.blocks.append(at)
+        if name in SCOPE:
+            self.scopes.append(at)
+        self.stack.append((name, node))
+
+    def close(self, upto: int) -> None:
+        """Close all elements from a place on."""
+        if self.blocks[-1] >= upto:
+            self.flush()
+        while len(self.stack) > upto:
+            name, at = self.stack[-1][0], len(self.stack) - 1
             if name not in INLINE:
-                flush()
-            del stack[-1]
+                self.flush()
+                self.blocks.pop()
+            if name in SCOPE:
+                self.scopes.pop()
+            self.places[name].pop()
+            self.stack.pop()
             if name in CONTROL:  # the text around it goes on
-                before, linked = outer.pop()
-                held.extend(before)
-
-    page = page or ""
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text:
-            held.append(text)
-            if links:
-                linked += len(text)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break
-            continue
-        if name in RAW:
-            e = _END_RAW[name].search(page, at)
-            if not page[m.start() : at].rstrip(">").endswith("/") or name in ("script", "style"):
-                at = e.end() if e else end
-            continue
-        if name in ("html", "head", "body"):
-            continue
-        if name in VOID:
-            if name == "hr":
-                flush()
-            held.append(" ")
-            continue
+                self.held, self.linked = self.outer.pop()
+
+    def innermost(self, names) -> int:
+        """Place of the innermost open element with one of these names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def open(self, name: str, attributes: str) -> int | None:
+        """Open an element; the number of its node if it has one."""
         if name in INLINE:
-            stack.append((name, stack[-1][1]))
-            links += name == "a"
-            continue
-        if outer and name in CLOSES_P:  # a control that was not closed ends where a block begins
-            close(next(i for i, (x, _) in enumerate(stack) if x in CONTROL))
+            self.push(name, self.stack[-1][1])
+            return None
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+            if self.outer:  # a control that was not closed ends where a block begins
+                self.close(min(self.places[x][0] for x in CONTROL if self.places.get(x)))
+            p = self.innermost(("p",))
+            if p > self.scopes[-1]:
+                self.close(p)
         if name in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in SAME[name]:
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table"):
-                    break
-        attributes = m[3] or ""
+            other = self.innermost(SAME[name])
+            if other > self.innermost(("ul", "ol", "dl", "table")):
+                self.close(other)
         if name in CONTROL:
             if attributes.rstrip().endswith("/"):
-                continue
-            outer.append((held[:], linked))
-            held.clear()
-            linked = 0
+                return None
+            self.outer.append((self.held, self.linked))
+            self.held, self.linked = [], 0
         else:
-            flush()
-        node = tree.add(stack[-1][1], KIND_OF.get(name, BOX), name, named(attributes) if attributes.strip() else ())
-        if "data-label" in attributes:
-            tree.mark.append((node, attributes.split('data-label="')[1].split('"')[0]))
-        stack.append((name, node))
-    close(1)
-    flush()
-    return tree
+            self.flush()
+        node = self.tree.add(self.stack[-1][1], KIND_OF.get(name, BOX), name, named(attributes) if attributes.strip() else ())
+        self.push(name, node)
+        return node
+
+
+def parse(page: str | None, marks: bool = True) -> Tree:
+    """The tree of a page, in time proportional to its length. With marks, data-label attributes (of labelled pages) are kept."""
+    grown = Builder()
+    tokens = Tokens(page or "")
+    for text, name, closes, attributes in tokens:
+        grown.text(text)
+        if name is None:
+            continue
+        if closes:
+            at = grown.innermost((name,))
+            if at > (grown.blocks[-1] if name in INLINE else 0):
+                grown.close(at)
+        elif name in RAW:
+            if name in ("script", "style") or not attributes.endswith("/"):
+                tokens.skip_raw(name)
+        elif name in VOID:
+            if name == "hr":
+                grown.flush()
+            grown.held.append(" ")
+        elif name not in ("html", "head", "body"):
+            node = grown.open(name, attributes)
+            if marks and node is not None and (m := _MARK.search(attributes)):
+                grown.tree.mark.append((node, m[1]))
+    grown.close(1)
+    grown.flush()
+    return grown.tree
 
 
 # Features: kind, tag, what names say (with kind), and of texts their length, share of links and looks.
 FEATURES = ["bias-text", "bias-box", *[f"kind:{k}" for k in KINDS], *[f"says:{s}" for s in (*SAYS, "hidden")], *[f"tag:{t}" for t in sorted(KIND_OF)]]
-FEATURES += [*[f"length:{n}" for n in range(8)], *[f"links:{n}" for n in range(4)], "stops", "copyright", "first-heading"]
+FEATURES += [*[f"length:{n}" for n in range(8)], *[f"links:{n}" for n in range(4)], "stops", "copyright"]
 AT = {f: i for i, f in enumerate(FEATURES)}
 KIND_NAMES = list(KINDS)
 
@@ -252,10 +326,7 @@ class Forest:
         self.parent = np.concatenate([np.where((p := np.array(t.parent)) < 0, -1, p + b) for t, b in zip(trees, base)]) if trees else np.zeros(0, int)
         self.kind = np.concatenate([np.array(t.kind) for t in trees]) if trees else np.zeros(0, int)
         self.kinds = self.kind[np.maximum(self.parent, 0)] * len(KINDS) + self.kind
-        depth = np.zeros(len(self.parent), int)
-        for i, p in enumerate(self.parent.tolist()):
-            if p >= 0:
-                depth[i] = depth[p] + 1
+        depth = np.concatenate([np.array(t.depth) for t in trees]) if trees else np.zeros(0, int)
         order = np.argsort(depth, kind="stable")
         cut = np.searchsorted(depth[order], np.arange(depth.max() + 2 if len(depth) else 1))
         self.levels = [order[a:b] for a, b in zip(cut[:-1], cut[1:])]
@@ -354,6 +425,16 @@ def labelled_pages(n: int = LABELLED, seed: int = SEED) -> list[str]:
         name = f' {rng.choice(("class", "class", "id"))}="{rng.choice(names)}"' if tag in ("div", "section", "p", "ul") or rng.random() < 0.5 else ""
         return f'<{tag}{name} data-label="0">{inner}</{tag}>'
 
+    def thread() -> str:
+        """Reader comments: boxes, or a list whose items are named or hold paragraphs."""
+        style, n = rng.random(), rng.randint(1, 5)
+        if style < 0.4:
+            return "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{sentences(rng.randint(1, 4))}</p></div>' for _ in range(n))
+        named = rng.choice(("", ' class="comment"', ' class="reply"'))
+        item = (lambda: f"<b>{words(1, 2)}</b><p>{sentences(rng.randint(1, 4))}</p>") if style < 0.75 else lambda: sentences(2)
+        items = "".join(f"<li{named}>{item()}</li>" for _ in range(n))
+        return items if rng.random() < 0.3 else f"<ol>{items}</ol>" if rng.random() < 0.5 else f"<ul>{items}</ul>"
+
     def clutter(kind: str) -> str:
         para = "".join(f"<p>{sentences(rng.randint(1, 3))}</p>" for _ in range(rng.randint(1, 3)))
         bare = sentences(rng.randint(1, 3)) if rng.random() < 0.6 else para
@@ -364,7 +445,7 @@ def labelled_pages(n: int = LABELLED, seed: int = SEED) -> list[str]:
             "side": lambda: box("side", rng.choice((f"<h3>{words(1, 3)}</h3><ul>{links(rng.randint(2, 7))}</ul>", f"<h2>{words(1, 3)}</h2>{para}", bare)), ("aside",)),
             "ad": lambda: box("ad", rng.choice((bare, f"<a>{words(2, 8)}</a>", f"<p>{words(2, 9)}</p>")), ()),
             "notice": lambda: box("notice", rng.choice((bare, para + "<button>OK</button>")), ()),
-            "comment": lambda: box("comment", f"<h2>{words(1, 2)}</h2>" * rng.randint(0, 1) + "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{sentences(rng.randint(1, 4))}</p></div>' if rng.random() < 0.7 else f"<li>{sentences(2)}</li>" for _ in range(rng.randint(1, 5))), ()),
+            "comment": lambda: box("comment", f"<h2>{words(1, 2)}</h2>" * rng.randint(0, 1) + thread(), ()),
             "form": lambda: box("form", f"<label>{words(1, 5)}</label><input><p>{sentences(1)}</p><button>{words(1, 2)}</button>", ("form", "form")),
             "share": lambda: box("share", "".join(f"<a>{words(1, 1)}</a> " for _ in range(4)), ()),
         }[kind]()
@@ -412,7 +493,12 @@ def labelled_pages(n: int = LABELLED, seed: int = SEED) -> list[str]:
             main = f'<div data-label="1">{inner}</div>'
         else:
             main = f'<div {rng.choice(("class", "id"))}="{rng.choice(("content", "article", "post", "entry-content", "story", "article-body", "main", "post-body"))}" data-label="1">{inner}</div>'
+        if style >= 0.72 and rng.random() < 0.2:  # columns by a table
+            beside = f'<td data-label="0">{clutter(rng.choice(("nav", "side")))}</td>'
+            cells = re.sub(r"^<div (.*)</div>$", r"<td \1</td>", main, flags=re.S)
+            main = f"<table><tr>{beside}{cells}</tr></table>" if rng.random() < 0.5 else f"<table><tr>{cells}{beside}</tr></table>"
         if rng.random() < 0.3:
+            main += clutter("comment") * (rng.random() < 0.3)
             main = f"<main>{main}</main>" if rng.random() < 0.5 else f"<div>{main}</div>"
         before = [clutter(k) for k in ("notice", "header", "nav", "ad") if rng.random() < 0.5]
         after = [clutter(k) for k in ("side", "comment", "ad", "form", "share", "footer", "nav") if rng.random() < 0.4]
@@ -449,7 +535,7 @@ def default_model() -> Model:
 
 def extract(model: Model, pages: list[str | None]) -> list[list[tuple[str, float]]]:
     """Text blocks of each page with their content marginals."""
-    trees = [parse(p) for p in pages]
+    trees = [parse(p, marks=False) for p in pages]
     f = Forest(trees)
     p, _ = marginals(model, f)
     out = []
