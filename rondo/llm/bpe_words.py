@@ -12,11 +12,14 @@ import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 
-#: Words kept per process, some 200 bytes each. Once full, the first, hence mostly frequent, words stay.
-CACHE = 1_000_000
+#: Words kept per process in each of two generations, some 200 bytes each: bounded memory, whatever the vocabulary.
+CACHE = 400_000
+#: Marks of words seen before; only on second sight a word is kept, so that the many that occur once don't crowd out others.
+SEEN = 1 << 21
 #: Longer words are encoded anew each time.
 LONGEST = 40
 #: Trailing characters that the pattern always parts from a letter or digit before them.
@@ -26,13 +29,15 @@ _odd_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028
 _between = re.compile(r"(?<=\S) (?=\S)").split
 
 
-def _split(text: str) -> list[list[str]]:
-    """The words of each line; if any white space isn't single, one line whose words hold the rest of it."""
-    lines = [x.split(" ") for x in text.split("\n")]
+def _split(text: str) -> list[str]:
+    """The words of a text that isn't empty; one at the begin of the text or of a line has a newline before it.
+
+    If any white space isn't single, words hold the rest of it, lines included, and only the first has the newline.
+    """
     odd = any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _odd_space(text)
-    if odd or any("" in x for x in lines):
-        return [_between(text)]
-    return lines
+    if odd or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in ("  ", "\n\n", " \n", "\n ")):
+        return _between("\n" + text)
+    return ("\n" + text.replace("\n", " \n")).split(" ")
 
 
 class WordEncoder:
@@ -48,76 +53,103 @@ class WordEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         self.limit = cache
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # ids of a word with the space, or the newline, before it
+        self.older: dict[str, bytes] = {}  # the generation before
+        self.seen = np.zeros(SEEN, bool)
         self.tails: dict[str, bytes] = {}
         self.newline = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _encode_all(self, prefix: str, words: list[str]) -> Iterable[bytes]:
+    def _encode_all(self, words: list[str]) -> Iterable[bytes]:
+        """The ids of each word by itself, in order."""
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            e = self.tokenizer.encode([prefix + w for w in part], is_pretokenized=True, add_special_tokens=False)
-            ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part))) * self.dtype.itemsize
-            raw, begin = np.asarray(e.ids, self.dtype).tobytes(), 0
-            for end in ends.tolist():
-                yield raw[begin:end]
-                begin = end
-
-    def _learn(self, cache: dict[str, bytes], prefix: str, words: Iterable[str]) -> list[str]:
-        """Put all these words into the cache; returns those it must not keep."""
-        new = set(words).difference(cache)
+            yield from self._cut(self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False), len(part))
+
+    def _encode_letters(self, words: list[str]) -> Iterable[bytes]:
+        """The ids of words of letters alone, each with the space before it: pieces of their own in one text."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            yield from self._cut(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False), len(part))
+
+    def _cut(self, e, n: int) -> Iterable[bytes]:
+        ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=n)) * self.dtype.itemsize
+        raw, begin = np.asarray(e.ids, self.dtype).tobytes(), 0
+        for end in ends.tolist():
+            yield raw[begin:end]
+            begin = end
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of words that aren't kept."""
+        older = self.older
+        out = {w: older[w] for w in new if w in older}
+        old = list(out)
         ended: list[tuple[str, str]] = []
-        plain = set()
-        for w in new:
+        todo: set[str] = set()
+        for w in new.difference(out):
             core = w.rstrip(PUNCTUATION)
             if core and len(core) < len(w) and (core[-1].isalpha() or core[-1].isdecimal()):
                 ended.append((w, core))
-                if core not in cache:
-                    plain.add(core)
-            else:
-                plain.add(w)
-        todo = list(plain)
-        cache.update(zip(todo, self._encode_all(prefix, todo)))
-        tails = {w[len(core):] for w, core in ended}.difference(self.tails)
-        self.tails.update(zip(tails := list(tails), self._encode_all("", tails)))
-        for w, core in ended:
-            cache[w] = cache[core] + self.tails[w[len(core):]]
+                w = core
+                if w in out:
+                    continue
+                ids = self.words.get(w) or older.get(w)
+                if ids is not None:
+                    out[w] = ids
+                    continue
+            todo.add(w)
+        letters = [w for w in todo if w.isalpha()]
+        out.update(zip(letters, self._encode_letters(letters)))
+        todo.difference_update(letters)
+        spaced = [w for w in todo if w[0] != "\n"]
+        out.update(zip(spaced, self._encode_all([" " + w for w in spaced])))
+        heads = [w for w in todo if w[0] == "\n"]
+        out.update(zip(heads, [self.newline + x for x in self._encode_all([w[1:] for w in heads])]))
+        tails = list({w[len(core):] for w, core in ended}.difference(self.tails))
         if len(self.tails) > self.limit:
-            self.tails.clear()
-        added = plain | new
-        room = self.limit - len(self.spaced) - len(self.bare)
-        return [w for w in added if len(w) > LONGEST] if room >= 0 else list(added)
+            self.tails = {w[len(core):]: self.tails[w[len(core):]] for w, core in ended if w[len(core):] in self.tails}
+        self.tails.update(zip(tails, self._encode_all(tails)))
+        for w, core in ended:
+            out[w] = out[core] + self.tails[w[len(core):]]
+        self._keep(old, out)
+        return out
+
+    def _keep(self, old: list[str], out: dict[str, bytes]) -> None:
+        """Keep the words of the older generation and those seen before, a whole word and its part without punctuation alike."""
+        short = [w for w in out if len(w) <= LONGEST]
+        slot = np.fromiter(map(hash, short), np.int64, len(short)) & (SEEN - 1)
+        again = [*old, *compress(short, self.seen[slot].tolist())]
+        self.seen[slot] = True
+        if len(self.words) + len(again) > self.limit:
+            self.older, self.words = self.words, {}
+            self.seen[:] = False
+            again = again[: self.limit]
+        self.words.update((w, out[w]) for w in again)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        split: list[tuple[int, list[list[str]]]] = []
-        heads: list[str] = []
-        rests: list[str] = []
+        split: list[tuple[int, int]] = []
+        words: list[str] = []
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.empty(0, self.dtype)
             elif self.special(t):
                 out[i] = np.frombuffer(self._encode(t), self.dtype)
             else:
-                lines = _split(t)
-                split.append((i, lines))
-                for x in lines:
-                    heads.append(x[0])
-                    rests += x[1:]
-        once = self._learn(self.bare, "", heads), self._learn(self.spaced, " ", rests)
-        bare, of = self.bare, self.spaced.__getitem__
-        for i, lines in split:
-            parts = []
-            for x in lines:
-                words = iter(x)
-                parts += [self.newline, bare[next(words)], *map(of, words)]
-            out[i] = np.frombuffer(b"".join(parts[1:]), self.dtype)
-        for cache, words in zip((self.bare, self.spaced), once):
-            for w in words:
-                del cache[w]
+                words += _split(t)
+                split.append((i, len(words)))
+        found = list(map(self.words.get, words))
+        if None in found:
+            gaps = [k for k, x in enumerate(found) if x is None]
+            new = self._learn({words[k] for k in gaps})
+            for k in gaps:
+                found[k] = new[words[k]]
+        begin, skip = 0, len(self.newline)
+        for i, end in split:
+            out[i] = np.frombuffer(b"".join(found[begin:end]), self.dtype, offset=skip)
+            begin = end
         return out
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, lean
 
 MAX_DOCS, BUCKETS, ALPHA, SWITCH = 4000, 1 << 16, 0.05, 14.0
 #: Characters split at once, and word scores (words times languages) held for one Viterbi pass: 4 bytes each.
@@ -158,6 +158,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         share = F.when(F.col("lang") == name, F.lit(min(1.0, max_docs / n))).otherwise(share)
     sample = rows.filter((F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < share * (1 << 20)) & F.col("text").isNotNull())
 
+    @lean
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for b in batches:
@@ -223,6 +224,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     """(doc_id, held_out, lang_pred, score) of each row."""
     names = pa.array([*model.langs, "und"])
 
+    @lean
     def run(batches):
         for b in batches:
             pred, score = predict(model, b.column(2).to_pylist())
@@ -233,19 +235,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
 
 
 def language_of(model: Model):
-    """A column function: the language of a text, or und."""
+    """A column function: the language of a text, or und. Declared nondeterministic, so that no plan evaluates it twice a row."""
     names = np.array([*model.langs, "und"], object)
 
     @F.pandas_udf("string")
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series(names[predict(model, texts.where(texts.notna(), None).tolist())[0]])
 
-    return found
+    return found.asNondeterministic()
 
 
 def spans(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, start, end, lang): runs of words with one label, in code points."""
 
+    @lean
     def run(batches):
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_words import encoder
-from .common import chunks, materialize, release
+from .common import chunks, lean, materialize, release
 from .rans import Table, encode_segment, open_segment
 
 #: Tokens after which a segment ends, and characters tokenized at once.
@@ -32,6 +32,7 @@ RAW = "pid int, seq int, first long, n_tokens long, doc_ids array<bigint>, lens
 
 
 def _raw_segments(path: str, end_id: int):
+    @lean
     def run(batches):
         enc = encoder(path)
         pid, seq, first = TaskContext.get().partitionId(), 0, 0
@@ -77,6 +78,7 @@ def _raw_segments(path: str, end_id: int):
 def shared_table(raw: DataFrame, size: int) -> Table:
     """The frequency table of all tokens. At most one count per vocabulary entry reaches the driver."""
 
+    @lean
     def run(batches):
         counts = np.zeros(size, np.int64)
         for b in batches:
@@ -110,6 +112,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: st
     freq = shared.freq.astype("<u4").tobytes()
     width = "<u2" if size <= 1 << 16 else "<u4"
 
+    @lean
     def code(batches):
         t = Table(np.frombuffer(freq, "<u4"))
         for b in batches:
@@ -130,6 +133,7 @@ def read_tokens(segments: DataFrame, table: DataFrame, digest: bool = False) ->
     """Decode segments: (doc_id, start, ids), or (doc_id, start, n_tokens, ids_crc32) as digest."""
     freq = bytes(table.first()["freq"])
 
+    @lean
     def run(batches):
         t = Table(np.frombuffer(freq, "<u4"))
         for b in batches:
