@@ -7,7 +7,7 @@ buckets, until it holds one hash value. Nothing is sorted but bucket counts, and
 lower, so mixes are nested. A hot source is only ever pre-aggregated.
 
 Edge cases: null and empty texts have size 0 and are taken 0 words; null sources form a source of their own, last in
-order; rows that share a doc_id share a hash and are taken alike; an empty table gives no rows; with no words at all
+order; rows that share a doc_id share a hash and are taken alike, and rows without one those that share a text; an empty table gives no rows; with no words at all
 every target is 0; other columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, release
+from .common import fresh, materialize, n_words, release
 
 #: Levels of the histogram and bits of each: the last bucket is one value of the 48-bit hash.
 LEVELS, BITS = 4, 12
@@ -28,40 +28,64 @@ BROADCAST_SOURCES = 50_000
 WEIGHTS, REPEATS = (1, 2, 3), 3
 
 
-def hash48(key) -> F.Column:
-    """48 bits of md5, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+def hash48(key, text=None) -> F.Column:
+    """48 bits of md5, the same in any engine. Rows without a key are told apart by their text, if that is given."""
+    name = key.cast("string")
+    if text is not None:
+        name = F.coalesce(name, F.concat(F.lit("text:"), text.cast("string")))
+    return F.conv(F.substring(F.md5(F.coalesce(name, F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
+def _numbered(rows: DataFrame, order: Sequence, sums: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """rows with nth (from 0) and, for each column x of sums, before_x, the sum over all rows before; and the table to release.
+
+    Few rows go through one window. Many are dealt by range; the totals of the partitions, as many as tasks, give each its offset.
+    """
+    few = _small(rows)
+    ranged = rows.withColumn("pid", F.lit(0)) if few else materialize(rows.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "mix-ranged")
+    inside = W.partitionBy("pid").orderBy(*order)
+    before = inside.rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.select("*", (F.row_number().over(inside) - 1).cast("long").alias("nth"), *[F.coalesce(F.sum(x).over(before), F.lit(0e0)).alias(f"before_{x}") for x in sums])
+    if not few:
+        parts = ranged.groupBy("pid").agg(F.count("*").alias("rows_"), *[F.sum(x).alias(f"all_{x}") for x in sums])
+        prior = W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
+        base = parts.select("pid", F.coalesce(F.sum("rows_").over(prior), F.lit(0)).alias("rows_"), *[F.coalesce(F.sum(f"all_{x}").over(prior), F.lit(0e0)).alias(f"all_{x}") for x in sums])
+        out = out.join(F.broadcast(base), "pid")  # one row a task
+        out = out.withColumns({"nth": F.col("nth") + F.col("rows_"), **{f"before_{x}": F.col(f"before_{x}") + F.col(f"all_{x}") for x in sums}})
+        out = out.drop("rows_", *[f"all_{x}" for x in sums])
+    return out.drop("pid"), ranged
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """(source, source_size, target) of rows (source, size): all words shared by weight, none above repeats times its size.
 
     Resharing until none is above has a closed form: sources in order of cap / weight fill up one after another, and
-    the first that doesn't fill sets the level. One row per source, so the windows are small.
+    the first that doesn't fill sets the level.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     w = F.array(*[F.lit(float(x)) for x in weights])
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = by.select("source", "source_size", F.element_at(w, (rank % len(weights) + 1).cast("int")).alias("w"))
+    named, ranged = _numbered(by, [F.col("source").asc_nulls_last()], ())
+    s = named.select("source", "source_size", F.element_at(w, (F.col("nth") % len(weights) + 1).cast("int")).alias("w"))
     s = s.withColumn("cap", (F.col("source_size") * repeats).cast("double"))
-    order = W.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    s = s.select(
-        "*",
-        (
-            (F.sum("source_size").over(W.partitionBy()).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0e0)))
-            / F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing))
-        ).alias("level"),
-    )
+    full_at = F.col("cap") / F.col("w")
+    s, _ = _numbered(s.withColumn("fills", full_at), [F.col("fills").asc(), F.col("source").asc_nulls_last()], ("cap", "w"))
+    total = s.agg(F.sum("source_size").cast("double").alias("words"), F.sum("w").alias("weight"))  # one row
+    s = s.crossJoin(F.broadcast(total)).withColumn("level", (F.col("words") - F.col("before_cap")) / (F.col("weight") - F.col("before_w")))
     full = F.col("cap") <= F.col("level") * F.col("w")
-    s = s.withColumn("lambda", F.max(F.when(~full, F.struct(-F.col("cap") / F.col("w"), F.col("level").alias("v")))).over(W.partitionBy())["v"])
-    return s.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("lambda") * F.col("w")).alias("target"))
+    # The first in order: of equal fills that with the largest level.
+    least = s.agg((-F.min(F.when(~full, F.struct("fills", (-F.col("level")).alias("v"))))["v"]).alias("lambda"))  # one row
+    s = s.crossJoin(F.broadcast(least))
+    out = materialize(s.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("lambda") * F.col("w")).alias("target")), "mix-targets")
+    release(by)
+    release(ranged)
+    return out
 
 
-def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, budgets: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """(source, threshold): documents with hash < threshold have words nearest to the budget of their source.
 
     sizes: (source, size, u) with u of LEVELS * BITS bits; budgets: (source, budget), 0 <= budget <= words of the source.
+    Tables that may be released once the result was read are added to held.
     """
     state = budgets.select("source", F.col("budget").cast("double").alias("rest"), F.lit(0).cast("long").alias("lo"))
     rows = sizes
@@ -95,6 +119,8 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
             )
             # A source whose budget takes everything keeps lo = 2^62 and meets no bucket further on.
             state = materialize(nxt, f"mix-level{level}")
+            if held is not None:
+                held.append(state)
         else:
             # One hash value is left: take it if that comes nearer to the budget.
             near = (F.col("rest") - F.col("e.under")) * 2 >= F.col("e.n")
@@ -109,30 +135,33 @@ def _small(df: DataFrame) -> bool:
 
 def source_cuts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """One row per source: (source, source_size, target, whole, threshold). Only (source, size, hash) of the rows is stored."""
-    sizes = materialize(docs.select(docs[source].cast("string").alias("source"), n_words(docs[text]).alias("size"), hash48(docs[key]).alias("u")), "mix-sizes")
-    targets = materialize(source_targets(sizes, weights, repeats), "mix-targets")
+    sizes = materialize(docs.select(docs[source].cast("string").alias("source"), n_words(docs[text]).alias("size"), hash48(docs[key], docs[text]).alias("u")), "mix-sizes")
+    targets = source_targets(sizes, weights, repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("whole", whole)
     part = F.col("target") - F.col("whole") * F.col("source_size")
-    cut = plan.alias("p").join(thresholds(sizes, plan.select("source", part.alias("budget"))).alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+    held: list[DataFrame] = []
+    cut = plan.alias("p").join(thresholds(sizes, plan.select("source", part.alias("budget")), held).alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
     out = materialize(cut.select("p.source", "source_size", "target", "whole", F.when(part > 0, F.col("threshold")).otherwise(F.lit(0)).cast("long").alias("threshold")), "mix-cut")
-    release(sizes)
+    for df in (sizes, targets, *held):
+        release(df)
     return out
 
 
-def with_copies(rows: DataFrame, cuts: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """rows with the columns __source_size, __target and __copies. No row is shuffled while the sources are few."""
-    c = cuts.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
-    j = rows.join(F.broadcast(c) if _small(cuts) else c, rows[source].cast("string").eqNullSafe(F.col("__source")))
-    copies = F.col("__whole") + (hash48(rows[key]) < F.col("__threshold")).cast("long")
-    return j.withColumn("__copies", copies).drop("__source", "__whole", "__threshold")
+def with_copies(
+    rows: DataFrame, cuts: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", copies: str = "copies", carry: Sequence[str] = ()
+) -> DataFrame:
+    """rows with one more column, how often the mix takes each, and columns of cuts. No row is shuffled while the sources are few."""
+    at, whole, cut, hash_ = fresh(rows, "at", "whole", "cut", "hash")
+    c = cuts.select(F.col("source").alias(at), F.col("whole").alias(whole), F.col("threshold").alias(cut), *carry)
+    named = rows.withColumn(hash_, hash48(rows[key], rows[text]))
+    j = named.join(F.broadcast(c) if _small(cuts) else c, named[source].cast("string").eqNullSafe(F.col(at)))
+    return j.withColumn(copies, F.col(whole) + (F.col(hash_) < F.col(cut)).cast("long")).drop(at, whole, cut, hash_)
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies): how many words and copies of each row the mix takes."""
-    rows = docs.select(docs[key].alias("doc_id"), docs[source].cast("string").alias("source"), n_words(docs[text]).alias("size"))
-    mixed = with_copies(rows, source_cuts(docs, weights, repeats, text, source, key))
-    return mixed.select(
-        "doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("__copies") * F.col("size")).alias("taken"), F.col("__copies").alias("copies"),
-    )
+    rows = docs.select(docs[key].alias("doc_id"), docs[source].cast("string").alias("source"), docs[text].alias("text"))
+    mixed = with_copies(rows, source_cuts(docs, weights, repeats, text, source, key), carry=("source_size", "target"))
+    size = n_words(F.col("text"))
+    return mixed.select("doc_id", "source", size.alias("size"), "source_size", "target", (F.col("copies") * size).alias("taken"), "copies")

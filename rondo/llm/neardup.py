@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash (operator 2).
 
-1. Every document becomes its set of word shingles; sets become K minima, of which the low BITS bits are packed into a
-   signature, and the first BANDS * ROWS of them, ROWS at a time, into band keys. Documents with equal sets are one node
+1. Every text becomes its set of word shingles; sets become K minima, of which the low BITS bits are packed into a
+   signature, and the first BANDS * ROWS of them, ROWS at a time, into band keys. Texts with equal sets are one node
    from here on.
 2. Nodes that share a band key are candidates. Round one pairs each node with the smallest of all its buckets, one pair
    a node; then with the smallest of each bucket, where that bears another label by now. A bucket of any size gives
@@ -13,19 +13,22 @@
    blocks, with the estimate as join condition and each pair only in the first band that it shares, and confirms those.
    The nodes of such buckets get a second, longer signature of WIDE minima first: large groups just below the
    threshold would otherwise leave most of their pairs to be confirmed. So each candidate pair is either confirmed or denied on
-   full sets, or already connected: no link is lost, and no group is expanded into all of its pairs.
+   full sets, denied by an estimate of step 3, or already connected, and no group is expanded into all of its pairs.
 6. Components follow by large-star and small-star steps on tables.
 
-A pair at exactly 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6, and less above.
+Recall: a pair at exactly 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6, an estimate denies it with one of
+3e-7 each, and both are less above; every link found is exact.
 
 Edge cases: null, empty and blank texts have no shingles and stand alone; a text of fewer words than a shingle is one
-shingle; rows that share a doc_id are one document; a row without doc_id stands alone (component null) and is kept; an
-empty table gives no rows; other columns are ignored.
+shingle; a doc_id that occurs with several texts is one document that has the links of all of them (deduplicate: documents
+of their own); a row without doc_id stands alone (component null) and is kept; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import chunks, materialize, release
+from .common import chunks, fresh, lean, materialize, release
 
 BANDS, ROWS, BITS, SIGMAS = 24, 4, 2, 5
 K, WIDE = 256, 2048
@@ -68,15 +71,19 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return h
 
 
-SIGS = "doc_id long, n_shingles long, set_hash binary, sig array<bigint>, bands array<bigint>"
+SIGS = "doc_id long, digest long, n_shingles long, set_hash binary, sig array<bigint>, bands array<bigint>"
 
 
-def signatures(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Set size, set hash, b-bit signature and band keys of each row (the last three null for an empty set)."""
+def signatures(docs: DataFrame, words: int = 4) -> DataFrame:
+    """Set size, set hash, b-bit signature and band keys of each row (the last three null for an empty set).
 
+    docs: (doc_id, text, digest), the digest being a hash of the text that goes along.
+    """
+
+    @lean
     def run(batches):
         for b in batches:
-            texts, keys = b.column(1).to_pylist(), b.column(0)
+            texts, keys, digests = b.column(1).to_pylist(), b.column(0), b.column(2)
             for s, e, h, at in wordhash.many(texts):
                 sets = [wordhash.shingles(h[x:y], words) for x, y in zip(at[:-1], at[1:])]
                 size = np.array([len(x) for x in sets])
@@ -89,11 +96,11 @@ def signatures(docs: DataFrame, words: int = 4, text: str = "text", key: str = "
                     for i, a, c in zip(full.tolist(), packed(m).view(np.int64).tolist(), band_keys(m).view(np.int64).tolist()):
                         sig[i], bands[i] = a, c
                 yield pa.RecordBatch.from_arrays(
-                    [keys[s:e], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_hash", "sig", "bands"],
+                    [keys[s:e], digests[s:e], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "digest", "n_shingles", "set_hash", "sig", "bands"],
                 )
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SIGS)
+    return docs.select("doc_id", "text", "digest").mapInArrow(run, SIGS)
 
 
 def estimate(a: str, b: str, k: int = K) -> F.Column:
@@ -122,6 +129,7 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def wide_signatures(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(node, wide): packed signatures of WIDE further minima."""
 
+    @lean
     def run(batches):
         for b in batches:
             texts, keys = b.column(1).to_pylist(), b.column(0)
@@ -150,6 +158,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     rows = wanted.join(texts, "doc_id").select("a", "salt", (F.col("doc_id") != F.col("a")).alias("other"), F.col("doc_id").alias("b"), "text")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other")
 
+    @lean
     def run(batches):
         group, head = None, None
         for batch in batches:
@@ -191,26 +200,73 @@ def components(links: DataFrame) -> DataFrame:
         if now == last:
             break
         last = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select("v", F.col("v").alias("w")).distinct()
     )
+    out._rondo_path = edges._rondo_path  # for release()
+    return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row: links at num/den Jaccard similarity or more."""
-    body = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+@dataclass
+class Linked:
+    """What linking gives: rows (doc_id, digest, n_shingles, set_hash, row), nodes (set_hash, node), links (a, b) of nodes."""
+
+    rows: DataFrame
+    nodes: DataFrame
+    links: DataFrame
+    #: doc_ids of several rows: (doc_id, lo, texts), texts being more than one if these differ.
+    repeated: DataFrame
+    several: bool
+    held: list[DataFrame]
+
+    def release(self) -> None:
+        for df in self.held:
+            release(df)
+
+
+def _rows(sigs: DataFrame, body: DataFrame, repeated: DataFrame, held: list[DataFrame]) -> tuple[DataFrame, DataFrame, bool]:
+    """sigs and body with the column row, which tells different texts apart, and whether any doc_id has several.
+
+    A row is named by its doc_id; where a doc_id has several texts, those but one get a number that no doc_id has.
+    """
+    several = repeated.filter("texts > 1")
+    if several.isEmpty():
+        return sigs.withColumn("row", F.col("doc_id")), body.withColumn("row", F.col("doc_id")), False
+    named = sigs.filter("doc_id is not null").select("doc_id", "digest")
+    extra = named.join(several, "doc_id").filter(F.col("digest") != F.col("lo")).select("doc_id", "digest").distinct()
+    held.append(extra := materialize(extra, "dup-extra"))
+    low, high = named.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    number = F.lit(high) + 1 + number if high < 1 << 62 else F.lit(low) - 1 - number
+    held.append(extra := materialize(extra.select("doc_id", "digest", number.alias("number")), "dup-numbers"))
+
+    def name(df: DataFrame) -> DataFrame:
+        return df.join(extra, ["doc_id", "digest"], "left").withColumn("row", F.coalesce("number", "doc_id")).drop("number")
+
+    return name(sigs), name(body), True
+
+
+def linked(docs: DataFrame, words: int, num: int, den: int, text: str, key: str) -> Linked:
+    """Sets, nodes and confirmed links of all rows; connected nodes share a component of these links."""
+    body = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), F.xxhash64(docs[text].cast("string")).alias("digest"))
     sigs = materialize(signatures(body, words), "dup-sigs")
+    held = [sigs]
+    repeated = sigs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    repeated = repeated.filter("n > 1").select("doc_id", "lo", F.when(F.col("lo") == F.col("hi"), 1).otherwise(2).alias("texts"))
+    held.append(repeated := materialize(repeated, "dup-repeated"))
+    rows, body, several = _rows(sigs, body, repeated, held)
+    body = body.select(F.col("row").alias("doc_id"), "text")
     floor = floor_of(num / den)
     nodes = materialize(
-        sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
-        .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        rows.filter("n_shingles > 0 and row is not null").groupBy("set_hash")
+        .agg(F.min("row").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         "dup-nodes",
     )
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
     shared = materialize(buckets.join(heads, "key").select("key", "band", "node", "head"), "dup-shared")
-    # A doc_id with two texts is one node. 32 bits of each band key tell in which band a pair meets first.
-    sig = nodes.groupBy("node").agg(F.first("sig").alias("sig"), F.first(F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))).alias("heads"))
+    sig = nodes.select("node", "sig", "bands")
+    held += [nodes, shared]
 
     def near(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
@@ -223,16 +279,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 80, den: int = 1
         for _ in range(2):
             up = links.join(lab.select(F.col("node").alias("a"), "component"), "a").select(F.col("b").alias("node"), "component")
             lab = lab.union(up).groupBy("node").agg(F.min("component").alias("component"))
-        return materialize(lab, "dup-labels")
+        held.append(lab := materialize(lab, "dup-labels"))
+        return lab
 
     inner = shared.filter("node != head")
     once = inner.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")).select("a", "b")
-    links = confirmed(near(once), body, words, num, den)
+    held.append(links := confirmed(near(once), body, words, num, den))
     first = labels(links)
     of_head = first.select(F.col("node").alias("head"), F.col("component").alias("other"))
     stars = inner.join(first, "node", "left").join(of_head, "head", "left").filter(F.coalesce("component", "node") != F.coalesce("other", "head"))
     stars = stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct().join(once, ["a", "b"], "left_anti")
-    links = links.union(confirmed(near(stars), body, words, num, den))
+    held.append(more := confirmed(near(stars), body, words, num, den))
+    links = links.union(more)
     first = labels(links)
     tried = once.union(stars)
     at = shared.join(first, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
@@ -240,10 +298,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 80, den: int = 1
     rest = at.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
     rest = materialize(rest, "dup-open")
     wide = materialize(wide_signatures(rest.select(F.col("node").alias("doc_id")).distinct(), body, words), "dup-wide")
+    held += [rest, wide]
     rest = rest.join(sig, "node").join(wide, "node")
     rest = materialize(rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dup-rest")
-    left = rest.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"), F.col("heads").alias("ha"), F.col("wide").alias("wa"), "band")
-    right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("heads").alias("hb"), F.col("wide").alias("wb"))
+    held.append(rest)
+    left = rest.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"), F.col("bands").alias("ha"), F.col("wide").alias("wa"), "band")
+    right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("bands").alias("hb"), F.col("wide").alias("wb"))
     met = F.exists(F.zip_with(F.slice("ha", F.lit(1), F.col("band")), F.slice("hb", F.lit(1), F.col("band")), lambda x, y: x == y), lambda z: z)
     cross = left.join(
         right,
@@ -252,10 +312,51 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 80, den: int = 1
         & (estimate("wa", "wb", WIDE) >= floor_of(num / den, WIDE)),
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Pairs of round one that were denied needn't be looked at again.
-    again = confirmed(cross.distinct().join(tried, ["a", "b"], "left_anti"), body, words, num, den)
-    label = components(links.union(again))
-    by_set = nodes.select("set_hash", "node").join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    held.append(again := confirmed(cross.distinct().join(tried, ["a", "b"], "left_anti"), body, words, num, den))
+    return Linked(rows.select("doc_id", "digest", "n_shingles", "set_hash", "row"), nodes.select("set_hash", "node"), links.union(again), repeated, several, held)
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row: links at num/den Jaccard similarity or more."""
+    d = linked(docs, words, num, den, text, key)
+    links = d.links
+    if d.several:  # the texts of one doc_id belong together
+        own = d.rows.join(d.repeated.filter("texts > 1"), "doc_id", "left_semi").join(d.nodes, "set_hash", "left").select("doc_id", "row", "node")
+        links = links.union(own.select("doc_id", "row")).union(own.filter("node is not null").select("row", "node"))
+    label = components(links)
+    d.held.append(label)
+    placed = d.rows.join(d.nodes.join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component")), "set_hash", "left")
+    if d.several:  # numbers beyond the doc_ids may be labels
+        least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+        placed = placed.join(least, "component", "left").withColumn("component", F.col("least"))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sigs.select("doc_id", "n_shingles", "set_hash").join(by_set, "set_hash", "left").select(
-        "doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept")
-    )
+    out = materialize(placed.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept")), "dup-result")
+    d.release()
+    return out
+
+
+def deduplicate(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each near-duplicate component, that with the smallest key.
+
+    Rows equal in key and text become one; rows that share a key but not the text are documents of their own. Null, empty
+    and blank texts and rows without a key stay. Texts are shuffled for repeated keys only, and for an anti join if those
+    that go are too many to broadcast.
+    """
+    d = linked(docs, words, num, den, text, key)
+    label = components(d.links)
+    d.held.append(label)
+    of_set = d.nodes.join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    placed = d.rows.filter("doc_id is not null").join(of_set, "set_hash").select("doc_id", "digest", "row", "component")
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = placed.join(first, "component").filter(F.col("row") != F.col("first.row"))
+    id_, hash_, other = fresh(docs, "doc_id", "digest", "other")
+    gone = materialize(gone.select(F.col("doc_id").alias(id_), F.col("digest").alias(hash_)).distinct(), "dup-gone")
+    again = materialize(d.repeated.select(F.col("doc_id").alias(other)), "dup-again")
+    d.release()
+    named = docs.withColumn(id_, docs[key].cast("long")).withColumn(hash_, F.xxhash64(docs[text].cast("string")))
+    on = F.col(id_) == F.col(other)
+    stay = named.join(gone, [id_, hash_], "left_anti") if d.several else named.join(gone.select(id_), id_, "left_anti")
+    once = stay.join(again, on, "left_anti")
+    if not again.isEmpty():
+        once = once.union(stay.join(again, on, "left_semi").select(once.columns).dropDuplicates([id_, hash_]))
+    return once.select(*docs.columns)
