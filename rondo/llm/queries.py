@@ -99,5 +99,34 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.u = k.u
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS h FROM s),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.h = y.h AND x.doc_id <> y.doc_id
+      GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(c.b, doc_id)) AS component_id, doc_id <= coalesce(c.b, doc_id) AS kept
+FROM s LEFT JOIN c ON doc_id = c.a
+"""
+
+# The CRC table follows from its polynomial, and a text's CRC from its bytes one after another.
+OP10_SQL = r"""
+WITH tab AS (SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) q(i)),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS h,
+        list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda b: ('0x' || b)::BIGINT) AS bytes FROM documents),
+k AS (SELECT doc_id, size, h, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM d, tab),
+o AS (SELECT *, coalesce(sum(size) OVER (ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+        row_number() OVER (ORDER BY h, doc_id NULLS FIRST, size) - 1 AS rn, (sum(size) OVER ())::BIGINT AS total FROM k),
+g AS (SELECT h, min(start) AS a, sum(size)::BIGINT AS n FROM o GROUP BY h),
+i AS (SELECT DISTINCT total, (total * j + 7) // 8 AS cut FROM o, range(1, 8) q(j)),
+c AS (SELECT CASE WHEN h IS NULL OR n * 800 > total THEN cut WHEN cut - a <= a + n - cut THEN a ELSE a + n END AS cut FROM i LEFT JOIN g ON cut > a AND cut < a + n),
+p AS (SELECT o.*, (SELECT count(*) FROM c WHERE c.cut <= o.start) AS shard FROM o)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard, (rn - min(rn) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM p
+"""
+
 QUERIES = {"op1_rans": op1_rans, "op2_neardup": op2_neardup, "op3_html": op3_html, "op4_count": op4_count, "op5_mpeg": op5_mpeg, "op6_secrets": op6_secrets, "op7_langid": op7_langid, "op8_decontam": op8_decontam, "op9_mix": op9_mix, "op10_shard": op10_shard}
-SQL = {"op9_mix": OP9_SQL}
+SQL = {"op2_neardup": OP2_SQL, "op9_mix": OP9_SQL, "op10_shard": OP10_SQL}
