@@ -12,60 +12,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rondo.llm import decontam, langid, mixing, neardup, token_output
-from rondo.llm.common import materialize, shared_dir, table
+from rondo.llm.common import fresh, shared_dir, table
 from rondo.llm.queries import public_tokenizer
 
+#: Words of a shingle in near_dedup.
+WORDS = 4
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is `und` (no text, no letters) go; a missing language is filled in."""
+    """Documents whose language is `und` (null or empty text, no letters) go; a missing language is filled in.
+
+    Repeated rows and ties are judged alike; rows without doc_id or language are judged, but don't train; where no row trains,
+    every text is `und` and goes; an empty table gives no rows.
+    """
+    (said,) = fresh(docs, "said")
     found = langid.language_of(langid.train(docs))
-    known = docs.withColumn("__lang", found(F.col("text").cast("string"))).filter("__lang != 'und'")
-    return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    known = docs.withColumn(said, found(F.col("text").cast("string"))).filter(F.col(said) != "und")
+    return known.withColumn("lang", F.coalesce("lang", said)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest doc_id; rows equal in doc_id and text become one.
+    """One document of each near-duplicate group stays, that with the smallest doc_id. Similarity is op2's: four-word shingles, 0.8.
 
-    Rows that share a doc_id but not the text are documents of their own. Similarity is op2's: four-word shingles, 0.8.
+    Rows equal in doc_id and text become one; rows that share a doc_id but not the text are documents of their own. Null,
+    empty and blank texts and rows without doc_id stay; an empty table gives no rows.
     """
-    digest = F.md5(F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit("")))
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
-    several = ids.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo != hi")
-    extra = materialize(ids.join(several, "doc_id").filter("digest != lo").select("doc_id", "digest").distinct(), "pipeline-extra")
-    if extra.isEmpty():
-        gone = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-        named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-        return named.select(*docs.columns).union(docs.filter("doc_id is null"))
-    # The first text keeps the doc_id as its node, each further one gets a node that no doc_id has.
-    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
-    number = F.monotonically_increasing_id()
-    node = F.lit(high) + 1 + number if high < 1 << 62 else F.lit(low) - 1 - number
-    extra = materialize(extra.select("doc_id", "digest", node.alias("__node")), "pipeline-nodes")
-    key = extra.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__node")
-    at = docs.filter("doc_id is not null").withColumn("__md5", digest)
-    at = at.join(key, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__md5") == F.col("__digest")), "left")
-    at = at.withColumn("__node", F.coalesce("__node", F.col("doc_id").cast("long"))).select(*docs.columns, "__node")
-    found = neardup.near_duplicates(at, key="__node").select(F.col("doc_id").alias("__node"), "component_id").distinct()
-    found = found.join(extra.select("__node", "doc_id"), "__node", "left").withColumn("doc_id", F.coalesce("doc_id", "__node"))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__node")).alias("first")).select("first.__node")
-    named = at.join(kept, "__node", "left_semi").dropDuplicates(["__node"])
-    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
+    return neardup.deduplicate(docs, words=WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontam.is_contaminated(decontam.build(docs, table(spark, sf_dir, "benchmark")))
-    return docs.filter(~found(F.col("text")))
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike; without benchmark all stay; an empty table
+    gives no rows.
+    """
+    return decontam.uncontaminated(docs, decontam.build(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
-    taken = mixing.with_copies(docs, mixing.source_cuts(docs)).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, or up to three times.
+
+    A null source is a source of its own; repeated rows are taken alike; texts without words go with their hash; with no
+    words at all nothing is taken; an empty table gives no rows.
+    """
+    copies, copy = fresh(docs, "copies", "copy")
+    taken = mixing.with_copies(docs, mixing.source_cuts(docs), copies=copies).filter(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in rANS segments, read back and digested: (doc_id, start, n_tokens, ids_crc32)."""
+    """Token ids in rANS segments, read back and digested: (doc_id, start, n_tokens, ids_crc32).
+
+    Null and empty texts have the end id alone; null doc_ids come first, and rows that share one are in order of their text's
+    hash; an empty table gives no rows.
+    """
     segments, freq = token_output.write_tokens(docs, public_tokenizer("byte_bpe_50k.json"))
     return token_output.read_tokens(segments, freq, digest=True)
 
