@@ -9,7 +9,9 @@ import shutil
 import uuid
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,29 @@ def lean(run):
     return wrapped
 
 
+#: Bytes of an Arrow batch between Spark and Python; the buffers that hold it are a few times as large, in each task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes for this session, where it doesn't bound them as low: texts vary in length, rows don't tell."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not str(now).isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def sliced(batches, column: int, limit: int = BATCH_BYTES):
+    """Arrow batches in slices of about limit bytes of a text or binary column, one row at least: what Python holds at once."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, n = 0, b.num_rows
+        while at < n:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:
@@ -82,6 +107,7 @@ def give_back() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import give_back, lean, n_words
+from .common import give_back, lean, n_words, sliced, small_batches
 
 BLOCK, RANK, SPANS, ROWS_AT_ONCE = 12, 32, (2, 4, 6), 2000
 COSINE, SHARED, NEAR, PARAPHRASE = 0.4, 0.4, 0.75, 0.5
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, items: Items, text: str = "text", rank: int = RANK) ->
     @lean
     def frequencies(batches):
         df, total = np.zeros(m, np.int64), 0
-        for b in batches:
+        for b in sliced(batches, 0):
             for _, _, h, at in word_lists(_rows(b)):
                 term, block, first = _blocks(items, h, at)
                 total += int(first[-1])
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, items: Items, text: str = "text", rank: int = RANK) ->
     @lean
     def sketch(batches):
         z = np.zeros((m, r), np.float32)
-        for b in batches:
+        for b in sliced(batches, 0):
             for _, _, h, at in word_lists(_rows(b)):
                 term, block, first = _blocks(items, h, at)
                 if not len(term):
@@ -345,6 +345,7 @@ class Checker:
 
 def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", at_most: int = AT_MOST) -> list[Checker]:
     """One checker for every at_most words of the benchmark, so that what is held stays bounded whatever its size."""
+    small_batches(docs.sparkSession)
     words = benchmark.agg(F.sum(n_words(benchmark["text"]))).first()[0] or 0
     parts = -(-words // at_most) or 1
     out = []
@@ -361,7 +362,7 @@ def matches(docs: DataFrame, checkers: list[Checker], text: str = "text", key: s
     def search(checker: Checker) -> DataFrame:
         @lean
         def run(batches):
-            for b in batches:
+            for b in sliced(batches, 1):
                 keys, texts = b.column(0), b.column(1)
                 for s in range(0, len(texts), ROWS_AT_ONCE):
                     found = checker.find(texts[s : s + ROWS_AT_ONCE].to_pylist())

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, lean, sliced
 
 END = "</w>"
 #: Characters with columns of their own in the table; rows of the table; characters of a chunk; characters run at once.
@@ -422,9 +422,10 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row."""
 
+    @lean
     def run(batches):
         c = counter(tokenizer_path)
-        for b in batches:
+        for b in sliced(batches, 1):
             texts = b.column(1).to_pylist()
             n: list[int] = []
             for s, e in chunks([len(t or "") for t in texts], AT_ONCE):

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, lean, sliced
 
 LABELLED, ROUNDS, RATE, DECAY, SEED = 400, 150, 0.5, 1e-3, 5
 AT_ONCE = 1 << 20
@@ -549,8 +549,9 @@ def main_texts(pages: DataFrame, model: Model | None = None, html: str = "html",
     """The key columns, text and n_chars of each page."""
     model = model or default_model()
 
+    @lean
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, len(keys)):
             source = b.column(len(keys)).to_pylist()
             texts = []
             for s, e in chunks([len(x or "") for x in source], AT_ONCE):

@@ -1,6 +1,6 @@
 """Language identification of mixed-language text (operator 7).
 
-Words are runs of letters. The Unicode ranges of its letters give a word its script, which leaves only the languages that
+Words are runs of letters. The Unicode range of its first letter gives a word its script, which leaves only the languages that
 use that script. Under each of these a word scores the log-likelihood of its letter trigrams (word boundaries
 included), learned from labelled rows. A Viterbi pass over the words of a text, with a penalty for each switch, labels spans;
 the text's language is the label with most letters, and its score is that label's share of the letters.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lean
+from .common import chunks, give_back, lean, sliced, small_batches
 
 MAX_DOCS, BUCKETS, ALPHA, SWITCH = 4000, 1 << 16, 0.05, 14.0
 #: Characters split at once, and word scores (words times languages) held for one Viterbi pass: 4 bytes each.
@@ -150,6 +150,7 @@ def held_out(key) -> F.Column:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS) -> Model:
     """Trigram counts of a bounded sample. At most BUCKETS counts per language reach the driver."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang"))
     rows = rows.filter(F.col("k").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("k")))
     sizes = {r["lang"]: r["n"] for r in rows.filter("text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -161,7 +162,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     @lean
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches, 0):
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for s, e in chunks([len(t) for t in texts], AT_ONCE):
                 w = split(texts[s:e])
@@ -226,7 +227,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
 
     @lean
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             pred, score = predict(model, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names.take(pa.array(pred)), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -240,7 +241,9 @@ def language_of(model: Model):
 
     @F.pandas_udf("string")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series(names[predict(model, texts.where(texts.notna(), None).tolist())[0]])
+        out = pd.Series(names[predict(model, texts.where(texts.notna(), None).tolist())[0]])
+        give_back()
+        return out
 
     return found.asNondeterministic()
 
@@ -250,7 +253,7 @@ def spans(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
     @lean
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             keys, texts = b.column(0), b.column(1).to_pylist()
             for s, _, owner, begin, end, best in label(model, texts):
                 if not len(best):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import chunks, fresh, lean, materialize, release
+from .common import chunks, fresh, lean, materialize, release, sliced, small_batches
 
 BANDS, ROWS, BITS, SIGMAS = 24, 4, 2, 5
 K, WIDE = 256, 2048
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, words: int = 4) -> DataFrame:
 
     @lean
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             texts, keys, digests = b.column(1).to_pylist(), b.column(0), b.column(2)
             for s, e, h, at in wordhash.many(texts):
                 sets = [wordhash.shingles(h[x:y], words) for x, y in zip(at[:-1], at[1:])]
@@ -131,7 +131,7 @@ def wide_signatures(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     @lean
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             texts, keys = b.column(1).to_pylist(), b.column(0)
             for s, e, h, at in wordhash.many(texts):
                 sets = [wordhash.shingles(h[x:y], words) for x, y in zip(at[:-1], at[1:])]
@@ -161,7 +161,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     @lean
     def run(batches):
         group, head = None, None
-        for batch in batches:
+        for batch in sliced(batches, 4):
             a, salt, other, b, text = (batch.column(i).to_pylist() for i in range(5))
             found_a, found_b = [], []
             for s, e, h, at in wordhash.many(text):
@@ -248,6 +248,7 @@ def _rows(sigs: DataFrame, body: DataFrame, repeated: DataFrame, held: list[Data
 
 def linked(docs: DataFrame, words: int, num: int, den: int, text: str, key: str) -> Linked:
     """Sets, nodes and confirmed links of all rows; connected nodes share a component of these links."""
+    small_batches(docs.sparkSession)
     body = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), F.xxhash64(docs[text].cast("string")).alias("digest"))
     sigs = materialize(signatures(body, words), "dup-sigs")
     held = [sigs]

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_words import encoder
-from .common import chunks, lean, materialize, release
+from .common import chunks, lean, materialize, release, sliced, small_batches
 from .rans import Table, encode_segment, open_segment
 
 #: Tokens after which a segment ends, and characters tokenized at once.
@@ -57,7 +57,7 @@ def _raw_segments(path: str, end_id: int):
             seq, first, keys, ids, n = seq + 1, first + n, [], [], 0
             return row
 
-        for b in batches:
+        for b in sliced(batches, 1):
             texts, doc_ids = b.column(1).to_pylist(), b.column(0).to_pylist()
             for s, e in chunks([len(t or "") for t in texts], AT_ONCE):
                 for k, x in zip(doc_ids[s:e], enc.ids(texts[s:e])):
@@ -97,6 +97,7 @@ def shared_table(raw: DataFrame, size: int) -> Table:
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Tokenize and code all documents in ascending doc_id order: (segments, table), as read from their files."""
     spark = docs.sparkSession
+    small_batches(spark)
     body = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = body.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -115,7 +116,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: st
     @lean
     def code(batches):
         t = Table(np.frombuffer(freq, "<u4"))
-        for b in batches:
+        for b in sliced(batches, 5):
             for r in b.to_pylist():
                 blob = encode_segment(np.frombuffer(r["ids"], width), r["doc_ids"], r["lens"], r["base"] + r["first"], t)
                 yield pa.RecordBatch.from_arrays(
@@ -136,7 +137,7 @@ def read_tokens(segments: DataFrame, table: DataFrame, digest: bool = False) ->
     @lean
     def run(batches):
         t = Table(np.frombuffer(freq, "<u4"))
-        for b in batches:
+        for b in sliced(batches, 0):
             for blob in b.column(0).to_pylist():
                 s = open_segment(blob, t)
                 flat = s.ids().astype("<u4")
