@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import materialize
+from .common import lean, materialize, sliced
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by bitrate index 1 to 14, Hz by sampling index, CRC polynomial.
 KBITS = {
@@ -120,8 +120,10 @@ def _vbr_table(frame: bytes, h: dict) -> dict | None:
                 out["toc"] = tuple(frame[at : at + 100])
             return out
     if frame[36:40] == b"VBRI":
-        n, frames = struct.unpack(">II", frame[46:54])
-        return {"kind": "VBRI", "bytes": n, "frames": frames}
+        n, frames, entries, scale, size, per = struct.unpack(">IIHHHH", frame[46:62].ljust(16, b"\0"))
+        at = [62 + k * size for k in range(entries)] if 1 <= size <= 4 and 62 + entries * size <= len(frame) else []
+        toc = tuple(int.from_bytes(frame[a : a + size], "big") * scale for a in at)
+        return {"kind": "VBRI", "bytes": n, "frames": frames, "toc": toc, "frames_per_entry": per}
     return None
 
 
@@ -240,8 +242,9 @@ def parse(data: bytes | None) -> dict:
             good, bad = good + ok, bad + (not ok)
         offsets.append(at)
         samples += h["samples"]
-        if h["layer"] == 3 and not any(frame[6 : 6 + h["side"]]):  # no main data: all that follows is ancillary
-            payload.append(frame[6 + h["side"] : 6 + h["side"] + UNIT])
+        side = 6 if h["crc"] else 4
+        if h["layer"] == 3 and not any(frame[side : side + h["side"]]):  # no main data: all that follows is ancillary
+            payload.append(frame[side + h["side"] : side + h["side"] + UNIT])
     hz = first["hz"] if first else 1
     return {
         "tags": tags, "vbr": vbr, "first": first, "frames": len(offsets), "samples": samples, "hz": hz,
@@ -282,8 +285,9 @@ def feature(p: dict) -> str:
 def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, media): the media column of MPEG streams."""
 
+    @lean
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([store(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "media"]
             )
@@ -300,8 +304,9 @@ SCHEMA = (
 def probe(media: DataFrame, with_payload: bool = True, with_seek: bool = True) -> DataFrame:
     """Parse a media column: durations, frame seek offsets, CRC results and the carried payload."""
 
+    @lean
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             out = []
             for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p = parse(data)
@@ -326,8 +331,9 @@ def digests(docs: DataFrame) -> DataFrame:
     """Store all texts as a media table, read it back, and digest what was read (the columns of DIGEST)."""
     media = materialize(encode_texts(docs), "mpeg-media")
 
+    @lean
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             rows = []
             for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p = parse(data)

@@ -30,7 +30,9 @@ def prefix_sums(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.unhex(F.md5(body.cast("binary"))).alias("h"),
     )
-    order = ["h", "doc_id", "size"]
+    # Rows that are equal in all that orders them, as repeated rows without doc_id, are parted by where they were read.
+    narrow = narrow.withColumn("salt", F.monotonically_increasing_id())
+    order = ["h", "doc_id", "size", "salt"]
     ranged = materialize(
         narrow.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "shard-ranged"
     )

@@ -134,3 +134,28 @@ def test_changed_copies_against_brute_force(spark, monkeypatch, setting):
     texts = {r["doc_id"]: re.findall(r"[^\W_]+", (r["text"] or "").lower()) for r in both.collect()}
     for (k, i), common in got.items():
         assert decontam.PARAPHRASE * len(items[i]) <= common <= lcs_length(items[i], texts[k])
+
+
+def test_vbri_seek_table_and_frames_without_crc():
+    import struct
+
+    from rondo.llm import mpeg
+
+    bare = mpeg.HEADER_BARE
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 3 * 240, 3, 3, 2, 2, 1) + struct.pack(">HHH", 120, 121, 122)
+    first = (bare + bytes(32) + table).ljust(240, b"\0")
+    frames = [(bare + bytes(17) + bytes([65 + k]) * 192).ljust(240, b"\0") for k in range(3)]
+    p = mpeg.parse(first + b"".join(frames))
+    assert p["vbr"] == {"kind": "VBRI", "bytes": 720, "frames": 3, "toc": (240, 242, 244), "frames_per_entry": 1}
+    assert p["payload"] == b"A" * 192 + b"B" * 192 + b"C" * 192 and (p["crc_ok"], p["crc_bad"]) == (0, 0)
+
+
+def test_equal_rows_are_parted(spark):
+    from rondo.llm import sharding
+
+    d = spark.createDataFrame([(None, "same")] * 400 + [(1, "other")] * 3, "doc_id long, text string").repartition(4)
+    got = sharding.shard_by_bytes(d, 8).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(by) == list(range(8)) and all(sorted(x) == list(range(len(x))) for x in by.values())
