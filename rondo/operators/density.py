@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,22 +71,29 @@ def dense(grid: DataFrame, gs: int) -> DataFrame:
     return n.join(grid, ["ix", "iy"], "left")
 
 
-def _neighbours(full: DataFrame, gs: int) -> DataFrame:
-    """(ix, iy, v): the eight neighbours' values of each cell, edges replicated. Each cell tells its value to those that look at it."""
-    offsets = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-    edge = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(gs - 1))
-    asks = full.select("ix", "iy", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])).alias("o"))
-    asks = asks.select("ix", "iy", edge(F.col("ix") + F.col("o.a")).alias("nx"), edge(F.col("iy") + F.col("o.b")).alias("ny"))
-    return asks.join(full.select(F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.col("value").alias("v")), ["nx", "ny"])
-
-
 def fill_holes(full: DataFrame, gs: int, passes: int = 1, compat: bool = False) -> DataFrame:
-    """Empty cells take the mean of their neighbours, pass after pass. compat: a hole without neighbours becomes 0 at once."""
-    for _ in range(passes):
-        g = _neighbours(full, gs).groupBy("ix", "iy").agg(F.avg("v").alias("m"))
-        m = F.coalesce("m", F.lit(0.0)) if compat else F.col("m")
-        full = full.join(g, ["ix", "iy"]).select("ix", "iy", F.coalesce("value", m).alias("value"))
-    return full
+    """Empty cells take the mean of their eight neighbours (edges replicated), pass after pass. compat: a hole without neighbours becomes 0 at once.
+
+    A grid has at most 512 * 512 cells, so all passes are one step on one array.
+    """
+
+    def fill(cells: pd.DataFrame) -> pd.DataFrame:
+        a = np.full((gs, gs), np.nan)
+        a[cells["ix"], cells["iy"]] = cells["value"].astype(float)
+        for _ in range(passes):
+            hole = np.isnan(a)
+            if not hole.any():
+                break
+            around = np.pad(a, 1, mode="edge")
+            near = np.stack([around[1 + x : 1 + x + gs, 1 + y : 1 + y + gs] for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y])
+            n = (~np.isnan(near)).sum(0)
+            mean = np.where(n > 0, np.nansum(near, axis=0) / np.maximum(n, 1), 0.0 if compat else np.nan)
+            a = np.where(hole, mean, a)
+        ix, iy = np.divmod(np.arange(gs * gs), gs)
+        flat = a.ravel()
+        return pd.DataFrame({"ix": ix, "iy": iy, "value": pd.Series(flat).astype(object).where(~np.isnan(flat), None)})
+
+    return full.select("ix", "iy", F.col("value").cast("double")).groupBy(F.lit(0).alias("all")).applyInPandas(fill, "ix int, iy int, value double")
 
 
 def box_blur(full: DataFrame, passes: int = 1) -> DataFrame:

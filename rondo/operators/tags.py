@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def enrichment(members: DataFrame, tags: DataFrame, top_k: int = 10) -> DataFrame:
     """Per cluster its top_k tags by count, with log enrichment against all tagged maps.
@@ -69,7 +71,8 @@ def cluster_details(members: DataFrame, labelled: DataFrame, top: int | None = N
 
 def auto_range(rows: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
     """Percentile range; minimum and maximum if that is empty; one wide if these are equal. Also how many values there are."""
-    g = rows.agg(F.percentile(value, lo).alias("a"), F.percentile(value, hi).alias("b"), F.min(value).alias("mn"), F.max(value).alias("mx"), F.count(value).alias("known"), F.count("*").alias("n"))
+    at = quantiles(rows, [value], [lo, hi])
+    g = rows.agg(F.lit(at[value, lo]).cast("double").alias("a"), F.lit(at[value, hi]).cast("double").alias("b"), F.min(value).alias("mn"), F.max(value).alias("mx"), F.count(value).alias("known"), F.count("*").alias("n"))
     a = F.when(F.col("b") > F.col("a"), F.col("a")).otherwise(F.col("mn"))
     b = F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("mx"))
     return g.select(a.alias("lo"), F.when(b > a, b).otherwise(a + 1).alias("hi"), "known", "n")
@@ -77,7 +80,8 @@ def auto_range(rows: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
 
 def clamped_range(rows: DataFrame, value: str, gap: float = 10.0) -> DataFrame:
     """2nd and 98th percentile, clipped to [30, 280] and [60, 300], at least `gap` apart."""
-    g = rows.agg(F.percentile(value, 0.02).alias("a"), F.percentile(value, 0.98).alias("b"))
+    at = quantiles(rows, [value], [0.02, 0.98])
+    g = rows.sparkSession.createDataFrame([(at[value, 0.02], at[value, 0.98])], "a double, b double")
     lo, hi = F.least(F.greatest("a", F.lit(30.0)), F.lit(280.0)), F.least(F.greatest("b", F.lit(60.0)), F.lit(300.0))
     return g.select(lo.alias("lo"), F.greatest(hi, lo + gap).alias("hi"))
 

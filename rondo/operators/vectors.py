@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, dot, finite, unit
+from .quantiles import quantiles
+from .sampling import exact_sample, hash_order
 
 #: Rows of a small side that are compared with everything; a larger side is refused, not broadcast.
 SMALL_SIDE = 100_000
@@ -30,20 +32,57 @@ def centroids(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 
 def nearest_centroid(rows: DataFrame, key: str, vector: str, cents: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """(key, cluster, sim): the centroid with the largest cosine; of equal ones the first. Absent clusters never win."""
-    a = rows.select(key, unit(F.col(vector)).alias("__u"))
-    b = checked_small(cents.select(cluster, unit(F.col("centroid")).alias("__c")))
-    best = a.crossJoin(b).groupBy(key).agg(F.max(F.struct(dot(F.col("__u"), F.col("__c")).alias("sim"), (-F.col(cluster)).alias("neg"))).alias("m"))
-    return best.select(key, (-F.col("m.neg")).alias(cluster), F.col("m.sim").alias("sim"))
+    """(key, cluster, sim): the centroid with the largest cosine; of equal ones the first. Absent clusters never win; null vectors have none.
+
+    All centroids are one broadcast row, and each vector takes its best of them in a projection: nothing is shuffled.
+    """
+    few = cents.select(F.col(cluster).alias("k"), unit(F.col("centroid")).alias("c")).filter("c is not null")
+    if few.limit(SMALL_SIDE + 1).count() > SMALL_SIDE:
+        raise ValueError(f"more than {SMALL_SIDE} centroids to compare everything with")
+    one = F.broadcast(few.agg(F.collect_list(F.struct("k", "c")).alias("all")))
+    u = rows.select(F.col(key).alias("key"), unit(F.col(vector)).alias("u")).crossJoin(one)
+    best = F.array_max(F.transform("all", lambda c: F.struct(dot(F.col("u"), c["c"]).alias("sim"), (-c["k"]).alias("neg"))))
+    out = u.select("key", best.alias("m")).filter("m.sim is not null")
+    return out.select(F.col("key").alias(key), (-F.col("m.neg")).alias(cluster), F.col("m.sim").alias("sim"))
+
+
+#: Distances of queries and rows that a task holds at once.
+CELLS = 1 << 21
 
 
 def knn(queries: DataFrame, qkey: str, qvec: str, base: DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    """(qkey, key, dist, rank): the k nearest rows of base for each of a small, stated set of queries."""
-    q = checked_small(queries.select(F.col(qkey).alias("__q"), F.col(qvec).alias("__qv")))
-    d = F.sqrt(F.aggregate(F.zip_with("__qv", "__v", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    pairs = base.select(F.col(key).alias("__k"), F.col(vec).alias("__v")).crossJoin(q).select("__q", "__k", d.alias("dist"))
-    w = W.partitionBy("__q").orderBy("dist", "__k")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("__q").alias(qkey), F.col("__k").alias(key), "dist", "rank")
+    """(qkey, key, dist, rank): the k nearest rows of base for each of a small, stated set of queries.
+
+    Each task compares its rows with all queries by matrix products and keeps k of each query, so k rows a query and task are
+    shuffled. Of equal distances the smaller key is nearer. Null vectors are far from everything.
+    """
+    got = checked_small(queries.select(F.col(qkey).alias("q"), F.col(qvec).alias("v")).filter("v is not null")).collect()
+    names = [r["q"] for r in got]
+    x = np.array([r["v"] for r in got], float) if got else np.zeros((0, 1))
+
+    def local(batches):
+        import pandas as pd
+
+        best: pd.DataFrame | None = None
+        for b in batches:
+            for at in range(0, len(b), max(1, CELLS // max(1, len(x)))):
+                part = b.iloc[at : at + max(1, CELLS // max(1, len(x)))]
+                y = np.stack(part["v"].to_numpy()).astype(float)
+                d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+                most = min(k, len(y)) - 1
+                edge = np.partition(d2, most, axis=1)[:, most] + 1e-9  # rounding must not part equal distances
+                qi, yi = np.nonzero(d2 <= edge[:, None])
+                new = pd.DataFrame({"q": qi, "k": part["k"].to_numpy()[yi], "dist": np.sqrt(((x[qi] - y[yi]) ** 2).sum(1))})
+                best = new if best is None else pd.concat([best, new])
+                best = best.sort_values(["q", "dist", "k"]).groupby("q", sort=False).head(k)
+        if best is not None and len(best):
+            yield best
+
+    kind = base.schema[key].dataType.simpleString()
+    near = base.select(F.col(key).alias("k"), F.col(vec).alias("v")).filter("v is not null").mapInPandas(local, f"q int, k {kind}, dist double") if len(x) else base.select(F.lit(0).alias("q"), F.col(key).alias("k"), F.lit(0e0).alias("dist")).limit(0)
+    top = near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("dist", "k"))).filter(F.col("rank") <= k)
+    named = queries.sparkSession.createDataFrame(list(enumerate(names)), f"q int, name {queries.schema[qkey].dataType.simpleString()}")
+    return top.join(F.broadcast(named), "q").select(F.col("name").alias(qkey), F.col("k").alias(key), "dist", "rank")
 
 
 def infonce(pairs: DataFrame, temperature: float = 0.1) -> DataFrame:
@@ -61,15 +100,34 @@ def infonce(pairs: DataFrame, temperature: float = 0.1) -> DataFrame:
 
 
 def fit_standardizer(rows: DataFrame, columns: Sequence[str], limit: float | None = 1e6) -> DataFrame:
-    """(feature, median, mean, std) in long form: median of the finite values, then mean and deviation with gaps filled."""
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = rows.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, v)")
-    v = finite(F.col("v"))
-    long = long.withColumn("v", clamp(v, -limit, limit) if limit else v)
-    med = long.groupBy("feature").agg(F.coalesce(F.median("v"), F.lit(0.0)).alias("median"))
-    filled = long.join(F.broadcast(med), "feature").withColumn("v", F.coalesce("v", "median"))  # one row per column
-    g = filled.groupBy("feature", "median").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    return g.withColumn("std", F.when(F.col("std") <= 1e-8, 1.0).otherwise(F.col("std")))
+    """(feature, median, mean, std) in long form: median of the finite values, then mean and deviation with gaps filled.
+
+    Medians are exact and found in bounded memory; mean and deviation are one partial aggregate for each column.
+    """
+    at = {c: finite(F.col(f"`{c}`").cast("double")) for c in columns}
+    at = {c: clamp(v, -limit, limit) if limit else v for c, v in at.items()}
+    clean = rows.select(*[v.alias(c) for c, v in at.items()])
+    medians = {c: v or 0.0 for (c, _), v in quantiles(clean, list(columns), [0.5]).items()}
+    filled = {c: F.coalesce(F.col(f"`{c}`"), F.lit(m)) for c, m in medians.items()}
+    g = clean.agg(*[f(v).alias(f"{name}{k}") for k, v in enumerate(filled.values()) for name, f in (("m", F.avg), ("s", F.stddev_pop))])
+    fits = [F.struct(F.lit(c).alias("feature"), F.lit(medians[c]).alias("median"), F.col(f"m{k}").alias("mean"), F.when(F.col(f"s{k}") <= 1e-8, 1.0).otherwise(F.col(f"s{k}")).alias("std")) for k, c in enumerate(columns)]
+    return g.select(F.explode(F.array(*fits)).alias("f")).select("f.*").filter("mean is not null")
+
+
+def sampled_rows(rows: DataFrame, key: str, order: Sequence[str], maps: int = 2000, each: int = 64, seed: int = 2025) -> DataFrame:
+    """At most `each` rows of at most `maps` maps, the same in any run: the bounded sample that a standardizer may be fitted on."""
+    some = F.broadcast(exact_sample(rows.select(key).distinct(), key, maps, seed))  # maps rows
+    mine = rows.join(some, key, "left_semi")
+    names = F.concat_ws("|", F.col(key).cast("string"), *[F.col(c).cast("string") for c in order])
+    w = W.partitionBy(key).orderBy(hash_order(names, seed), *order)
+    nth = _free(rows, "nth")
+    return mine.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) <= each).drop(nth)
+
+
+def _free(rows: DataFrame, name: str) -> str:
+    while name in rows.columns:
+        name += "_"
+    return name
 
 
 def standardize(rows: DataFrame, fitted: dict[str, tuple[float, float, float]], limit: float | None = 50.0) -> DataFrame:
@@ -87,8 +145,14 @@ def fitted_values(fit: DataFrame) -> dict[str, tuple[float, float, float]]:
 
 
 def moments(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, population covariance) of all positions. Sums and products are made per task; a dims x dims matrix reaches the driver."""
-    dims = len(rows.select(vector).first()[0])
+    """(mean, population covariance) of all positions. Sums and products are made per task; a dims x dims matrix reaches the driver.
+
+    Null vectors are left out; without any vector both are empty.
+    """
+    some = rows.select(vector).filter(F.col(vector).isNotNull()).first()
+    dims = len(some[0]) if some else 0
+    if not dims:
+        return np.zeros(0), np.zeros((0, 0))
 
     def sums(batches):
         import pandas as pd
@@ -100,7 +164,7 @@ def moments(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
         if n:
             yield pd.DataFrame({"i": range(dims), "n": n, "s": s, "p": list(p)})
 
-    parts = rows.select(vector).mapInPandas(sums, "i int, n long, s double, p array<double>")
+    parts = rows.select(vector).filter(F.col(vector).isNotNull()).mapInPandas(sums, "i int, n long, s double, p array<double>")
     got = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *[F.sum(F.col("p")[j]).alias(f"p{j}") for j in range(dims)]).orderBy("i").collect()
     n = got[0]["n"]
     mean = np.array([r["s"] for r in got]) / n
@@ -119,6 +183,8 @@ def pca(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """Coordinates on the first k principal axes, centred; the largest loading of each axis is positive."""
     mean, cov = moments(rows, vector)
     dims = len(mean)
+    if not dims:
+        return rows.select(key, *[F.lit(None).cast("double").alias(f"pc{c + 1}") for c in range(k)])
     _, vec = np.linalg.eigh(cov)
     axes = vec[:, ::-1][:, :k]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(k)])
