@@ -94,6 +94,28 @@ def slider_shape(n: DataFrame, multiplier: float = 1.4) -> DataFrame:
     )
 
 
+#: The largest float32.
+F32_MAX = 3.4028234663852886e38
+
+
+def derived_slider_columns(n: DataFrame) -> DataFrame:
+    """Slider columns that tables of old builds lack, from those they have; a column that is there already stays.
+
+    Duration is length over velocity, velocity per beat is velocity times 60000 / bpm, the direction's cosine and sine are
+    its place on the circle. Without their source columns they aren't added; events without them keep nulls.
+    """
+    have = set(n.columns)
+    out = {}
+    number = lambda c: F.col(c).cast("double")
+    if "slider_dur_ms" not in have and {"slider_len_px", "slider_vel"} <= have:
+        out["slider_dur_ms"] = S.clamp(F.when(number("slider_vel") > 1e-6, number("slider_len_px") / number("slider_vel")), -F32_MAX, F32_MAX)
+    if "slider_vel_beats" not in have and {"slider_vel", "local_bpm"} <= have:
+        out["slider_vel_beats"] = S.clamp(F.when(number("local_bpm") > 0.1, number("slider_vel") * (60000.0 / number("local_bpm"))), -F32_MAX, F32_MAX)
+    if "slider_dir_deg" in have and "slider_dir_circ_x" not in have:
+        out["slider_dir_circ_x"], out["slider_dir_circ_y"] = F.cos(F.radians(number("slider_dir_deg"))), F.sin(F.radians(number("slider_dir_deg")))
+    return n.withColumns({c: v.cast("float") for c, v in out.items()}) if out else n
+
+
 def kinematics(n: DataFrame, strict: bool = False) -> DataFrame:
     """Velocity from the effective previous position, then acceleration, jerk and jounce; bearing. A gap resets the chain.
 

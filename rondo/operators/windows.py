@@ -42,7 +42,13 @@ def beat_windows(bounds: DataFrame, beats: int = 4, overlap: float = 0.5) -> Dat
 
 
 def assign(n: DataFrame, bounds: DataFrame, beats: int = 4, overlap: float = 0.5) -> DataFrame:
-    """Each event once for each window with start <= t < end."""
+    """Each event once for each window with start <= t < end.
+
+    Events with a speed are numbered once over their map (column __i), where the rows are sorted already: within a window that
+    number is the window's own but for a constant, which no slope depends on.
+    """
+    if "speed" in n.columns and "line_no" in n.columns:
+        n = n.withColumn("__i", F.when(F.col("speed").isNotNull(), F.count("speed").over(W.partitionBy("map_id").orderBy("t_ms", "line_no").rowsBetween(W.unboundedPreceding, 0))))
     b = bounds.select("map_id", "t0", "t_end", F.col("beat_ms"))
     rows = n.drop("beat_ms").join(b, "map_id").filter("beat_ms > 0")
     step, length = steps(beats, overlap) * F.col("beat_ms"), beats * F.col("beat_ms")
@@ -61,9 +67,7 @@ def circular_variance(c: Column, s: Column, n: Column, least: int = 2) -> Column
 
 def aggregates(rows: DataFrame, stream_below: float = 80.0, jump_above: float = 200.0) -> DataFrame:
     """Per window: count, finite means and maxima, slider share, circular variance of the bearing, slope of the speed and the
-    change against the window before. rows: assigned events with the per-event features."""
-    w = W.partitionBy("map_id", "k").orderBy("t_ms", "line_no")
-    rows = rows.withColumn("__i", F.when(F.col("speed").isNotNull(), F.count("speed").over(w) - 1))
+    change against the window before. rows: assigned events with the per-event features, from assign()."""
     rad = F.radians("bearing")
     g = rows.groupBy(*KEYS).agg(
         F.count("*").alias("n_obj"),
@@ -91,16 +95,16 @@ def transitions(g: DataFrame) -> DataFrame:
 def feature_stats(rows: DataFrame, windows: DataFrame, columns: Sequence[str], limit: float = 1e6) -> DataFrame:
     """Mean, population deviation, minimum, maximum and median of every column in every window, clamped; long form.
 
-    Columns are unpivoted before the aggregation: five aggregates however many columns there are. Windows without
+    One aggregation for all columns; only medians need a window's values side by side, and a window is short. Windows without
     events keep their row, with nulls.
     """
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = rows.selectExpr("map_id", "k", f"stack({len(columns)}, {pairs}) as (feature, v)")
-    v = S.finite(F.col("v"))
-    stats = {"mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "median": F.median(v)}
-    g = long.groupBy("map_id", "k", "feature").agg(*[S.clamp(x, -limit, limit).alias(s) for s, x in stats.items()])
-    every = windows.select("map_id", "k", F.explode(F.array(*[F.lit(c) for c in columns])).alias("feature"))
-    return every.join(g, ["map_id", "k", "feature"], "left")
+    v = {c: S.finite(F.col(f"`{c}`").cast("double")) for c in columns}
+    clean = rows.select("map_id", "k", *[x.alias(f"v{i}") for i, x in enumerate(v.values())])
+    of = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max, "median": F.median}
+    g = clean.groupBy("map_id", "k").agg(*[S.clamp(f(f"v{i}"), -limit, limit).alias(f"{s}{i}") for i in range(len(columns)) for s, f in of.items()])
+    j = windows.select("map_id", "k").join(g, ["map_id", "k"], "left")
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{s}{i}").alias(s) for s in of]) for i, c in enumerate(columns)])
+    return j.select("map_id", "k", F.explode(each).alias("f")).select("map_id", "k", "f.*")
 
 
 def feature_table(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -146,6 +150,34 @@ def multi_hot(labelled: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame
     return tags, rows.select("map_id", "k", "tag", F.array_contains("labels", F.col("tag")).cast("int").alias("hot"))
 
 
+def negative_mask(labelled: DataFrame, negatives: DataFrame, tags: list[str]) -> DataFrame:
+    """(map_id, k, y, n) of each window: y marks its labels among the tags, n the tags that its map is said not to have.
+
+    labelled: windows with labels; negatives: (map_id, negative), an array each. A map without any has a mask of zeros.
+    """
+    one = negatives.groupBy("map_id").agg(F.array_distinct(F.flatten(F.collect_list("negative"))).alias("negative"))
+    j = labelled.join(one, "map_id", "left")
+    hot = lambda c: F.transform(F.array(*[F.lit(t) for t in tags]), lambda t: F.coalesce(F.array_contains(F.col(c), t), F.lit(False)).cast("int"))
+    return j.select("map_id", "k", hot("labels").alias("y"), hot("negative").alias("n"))
+
+
+def with_meta(windows: DataFrame, meta: DataFrame) -> DataFrame:
+    """Every window with its map's metadata as columns meta_*; windows of maps without metadata keep nulls."""
+    named = meta.select(F.col("map_id").alias("map_id_"), *[F.col(c).alias(f"meta_{c}") for c in meta.columns if c != "map_id"])
+    return windows.join(named, F.col("map_id") == F.col("map_id_"), "left").drop("map_id_")
+
+
+def full_features(base: DataFrame, meta: DataFrame, stats: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Window rows side by side with metadata and aggregated series, joined by window and not by position.
+
+    columns: those to return, in order; what none of the parts has is null.
+    """
+    j = with_meta(base, meta).join(stats, ["map_id", "k"], "left")
+    if columns is None:
+        return j
+    return j.select("map_id", "k", "start_ms", "end_ms", *[F.col(c) if c in j.columns else F.lit(None).cast("double").alias(c) for c in columns])
+
+
 def attention_pool(rows: DataFrame, score: Column, value: Column) -> DataFrame:
     """Softmax-weighted mean of a value per map."""
     m = F.max("__s").over(W.partitionBy("map_id"))

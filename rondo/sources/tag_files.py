@@ -44,6 +44,42 @@ def truthy_tags(tags_json: Column) -> Column:
     return F.array_sort(F.map_keys(F.map_filter(m, lambda _, v: v.isNotNull() & ~F.lower(v).isin("false", "0", "0.0", "", "null", "[]", "{}"))))
 
 
+def negative_tags(tags_json: Column, allowed: Column) -> Column:
+    """Sorted names of a JSON object whose value says is_negative, among the allowed ones (an array column)."""
+    m = F.from_json(tags_json, "map<string, string>")
+    said = F.map_keys(F.map_filter(m, lambda _, v: F.coalesce(F.get_json_object(v, "$.is_negative").isin("true", "1"), F.lit(False))))
+    return F.array_sort(F.array_intersect(said, allowed))
+
+
+#: The numeric keys of a map's metadata that become columns.
+NUMERIC_META = ("ar", "cs", "od", "hp", "bpm", "length_total", "length_drain", "count_circles", "count_sliders", "count_spinners", "note_count", "map_end_time_ms", "status_ranked")
+
+
+def numeric_meta(doc: Column) -> list[Column]:
+    """The numeric keys of a metadata document, null where one is missing or no number."""
+    return [F.get_json_object(doc, f"$.{k}").try_cast("double").alias(k) for k in NUMERIC_META]
+
+
+#: Output fields of the viewer's metadata and the keys that may hold them, in order.
+META_KEYS = {
+    "star": ("star", "star_rating", "difficulty_rating"), "hp": ("hp", "HPDrainRate", "drain"), "od": ("od", "OverallDifficulty", "accuracy"), "cs": ("cs", "CircleSize"),
+    "ar": ("ar", "ApproachRate"), "bpm": ("bpm",), "length": ("length_total", "total_length", "length"),
+}
+
+
+def viewer_meta(docs: DataFrame, doc: str = "doc", key: str = "map_id") -> DataFrame:
+    """(map_id, status, artist, title, version, creator and the metrics) of JSON documents, by the first key that says something."""
+    d = F.col(doc)
+    texts = {"status": ("status", "status_ranked", "ranked_status"), "artist": ("artist",), "title": ("title",), "version": ("version", "diff"), "creator": ("creator", "mapper")}
+    return docs.select(F.col(key).alias("map_id"), *[first_text(d, *keys).alias(n) for n, keys in texts.items()], *[first_number(d, *keys).alias(n) for n, keys in META_KEYS.items()])
+
+
+def map_tags(spans: DataFrame, weak: DataFrame) -> DataFrame:
+    """(map_id, tags): the sorted distinct labels of a map's spans and its weak tags. spans: (map_id, label); weak: (map_id, tag)."""
+    both = spans.select("map_id", F.trim("label").alias("tag")).union(weak.select("map_id", "tag")).filter("tag <> ''")
+    return both.groupBy("map_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
 def first_number(doc: Column, *keys: str) -> Column:
     """The first of several keys of a JSON object that holds a number."""
     return F.coalesce(*[F.get_json_object(doc, f"$.{k}").try_cast("double") for k in keys])
