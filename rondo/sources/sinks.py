@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,26 @@ def tags_json(summary: DataFrame, k: int = 10) -> DataFrame:
     return s.select("cluster", F.to_json(rec).alias("json"))
 
 
+def write_tag_summary(summary: DataFrame, path: str, k: int = 10) -> None:
+    """The tag table of all clusters as CSV, and as JSON lines {"cluster", "tags"}: the first k tags of each."""
+    summary.write.mode("overwrite").csv(f"{path}/cluster_tag_summary.csv", header=True)
+    tags_json(summary, k).select(F.concat(F.lit('{"cluster":'), F.col("cluster").cast("string"), F.lit(',"tags":'), "json", F.lit("}")).alias("value")).write.mode("overwrite").text(f"{path}/cluster_tag_summary.jsonl")
+
+
+def write_meta_json(meta: DataFrame, path: str, key: str = "map_id", buckets: int = 64, mode: str = "overwrite") -> None:
+    """Metadata as JSON lines in buckets of a hash of the key, instead of a file per map."""
+    meta.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket").write.mode(mode).partitionBy("bucket").json(path)
+
+
+def append_log(reasons: DataFrame, path: str) -> None:
+    """Append (map_id, reason, and more columns) to a build log: "id REASON" lines, and all columns as JSON lines beside them.
+
+    Each call adds files of its own, so builders needn't lock each other out.
+    """
+    reasons.select(F.concat_ws(" ", F.col("map_id").cast("string"), "reason").alias("value")).write.mode("append").text(f"{path}/log")
+    reasons.write.mode("append").json(f"{path}/jsonl")
+
+
 class PointsSource(DataSource):
     """format("points_f32"): numeric columns as rows of little-endian float32, one file per task."""
 
@@ -36,24 +59,56 @@ class PointsSource(DataSource):
         return "points_f32"
 
     def writer(self, schema, overwrite):
-        return PointsWriter(self.options["path"])
+        return PointsWriter(self.options["path"], overwrite)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    name: str
+    partition: int
 
 
 class PointsWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Each attempt of a task writes a file of its own; those of the attempts that count are renamed at the commit."""
 
-    def write(self, batches):
-        import os
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
+    def _folder(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path)
+
+    def write(self, batches):
         import numpy as np
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
-        with open(f"{self.path}/points-{TaskContext.get().partitionId():06d}.f32", "wb") as f:
+        files, root = self._folder()
+        files.create_dir(root, recursive=True)
+        t = TaskContext.get()
+        name = f"_{t.partitionId():06d}-{t.taskAttemptId()}-{uuid.uuid4().hex}"
+        with files.open_output_stream(f"{root}/{name}") as f:
             for b in batches:
-                np.stack([c.to_numpy(zero_copy_only=False).astype("<f4") for c in b.columns], axis=1).tofile(f)
-        return WriterCommitMessage()
+                f.write(np.stack([c.to_numpy(zero_copy_only=False).astype("<f4") for c in b.columns], axis=1).tobytes())
+        return Written(name, t.partitionId())
+
+    def commit(self, messages):
+        from pyarrow import fs
+
+        files, root = self._folder()
+        files.create_dir(root, recursive=True)
+        there = [x.path for x in files.get_file_info(fs.FileSelector(root)) if x.base_name.startswith("points-")]
+        for x in there if self.overwrite else ():
+            files.delete_file(x)
+        base = 0 if self.overwrite else len(there)
+        for n, m in enumerate(sorted((m for m in messages if m is not None), key=lambda m: m.partition)):
+            files.move(f"{root}/{m.name}", f"{root}/points-{base + n:06d}.f32")
+
+    def abort(self, messages):
+        files, root = self._folder()
+        for m in messages:
+            if m is not None:
+                files.delete_file(f"{root}/{m.name}")
 
 
 def pack_points(rows: DataFrame, columns: list[str]) -> DataFrame:
