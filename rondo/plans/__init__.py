@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("note_plans", "window_plans", "tag_plans", "vector_plans", "text_plans", "contour_plans")
+MODULES: tuple[str, ...] = ("note_plans", "window_plans", "tag_plans", "vector_plans", "text_plans", "contour_plans", "level_plans", "run_plans")
 
 
 def load_all() -> None:

@@ -6,58 +6,36 @@ from ..functions import scalars as S
 from ..functions.scalars import rounded as R
 from ..operators import sampling, tags
 from .adapters import r
-from .registry import SQL, query, table
+from .registry import query, table
 
-TAGS_SQL = """tags AS (SELECT DISTINCT o_custkey AS map_id, p_brand AS tag FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size <= 3),
+TAGS_SQL = """tags AS (SELECT DISTINCT o_custkey AS map_id, p_brand || ' ' || p_type AS tag FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
 members AS (SELECT c_custkey AS map_id, c_nationkey AS cluster FROM customer)"""
-ENRICHED_SQL = TAGS_SQL + """, t AS (SELECT * FROM members JOIN tags USING (map_id)), c AS (SELECT cluster, tag, count(*) AS n FROM t GROUP BY ALL),
+ENRICHED_ALL_SQL = TAGS_SQL + """, t AS (SELECT * FROM members JOIN tags USING (map_id)), c AS (SELECT cluster, tag, count(*) AS n FROM t GROUP BY ALL),
 z AS (SELECT cluster, count(DISTINCT map_id) AS size FROM t GROUP BY cluster), g AS (SELECT tag, sum(n) AS n_all FROM c GROUP BY tag),
 e AS (SELECT c.cluster, size, c.tag, n, n / size::DOUBLE AS frac, n_all / (SELECT count(DISTINCT map_id) FROM t)::DOUBLE AS frac_all,
  row_number() OVER (PARTITION BY c.cluster ORDER BY n DESC, c.tag) AS rank FROM c JOIN z USING (cluster) JOIN g ON c.tag = g.tag),
 enriched AS (SELECT *, ln((frac + 1e-9) / (frac_all + 1e-9)) AS enrichment FROM e WHERE rank <= 10)"""
 
 
-def _tags(spark, sf):
-    o, l, p = (table(spark, sf, t) for t in ("orders", "lineitem", "part"))
-    j = o.join(l, o.o_orderkey == l.l_orderkey).join(p.filter("p_size <= 3"), l.l_partkey == p.p_partkey)
-    return j.select(F.col("o_custkey").alias("map_id"), F.col("p_brand").alias("tag")).distinct()
-
-
 def _members(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("map_id"), F.col("c_nationkey").alias("cluster"))
 
 
-@query("tag_enrichment", f"WITH {ENRICHED_SQL} SELECT cluster, size AS tagged, tag, n AS tag_count, {r('frac')} AS frac, {r('frac_all')} AS frac_all, {r('enrichment')} AS enrichment FROM enriched")
-def tag_enrichment(spark, sf):
-    d = tags.enrichment(_members(spark, sf), _tags(spark, sf))
-    return d.select("cluster", "tagged", "tag", "tag_count", *[R(F.col(c)).alias(c) for c in ("frac", "frac_all", "enrichment")])
-
-
-@query("cluster_best_tags", f"""WITH {ENRICHED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {r('enrichment', 9)} DESC, n DESC, tag) AS k FROM enriched)
-SELECT cluster, string_agg(tag, ', ' ORDER BY k) AS label FROM b WHERE k <= 2 GROUP BY cluster""")
-def cluster_best_tags(spark, sf):
-    d = tags.enrichment(_members(spark, sf), _tags(spark, sf)).withColumn("enrichment", R(F.col("enrichment"), 9))
-    return tags.best_tags(d, 2)
-
-
-def _rich(sql):
-    """SQL over all line items; brand and type make the tags sparse instead."""
-    return sql.replace("p_brand AS tag", "p_brand || ' ' || p_type AS tag").replace(" WHERE p_size <= 3", "")
-
-
 def _rich_tags(spark, sf):
+    """Brand and type of all parts that a customer ordered: sparse tags from all line items."""
     o, l, p = (table(spark, sf, t) for t in ("orders", "lineitem", "part"))
     j = o.join(l, o.o_orderkey == l.l_orderkey).join(p, l.l_partkey == p.p_partkey)
     return j.select(F.col("o_custkey").alias("map_id"), F.concat_ws(" ", "p_brand", "p_type").alias("tag")).distinct()
 
 
-@query("tag_enrichment_all", _rich(SQL["tag_enrichment"]))
+@query("tag_enrichment_all", f"WITH {ENRICHED_ALL_SQL} SELECT cluster, size AS tagged, tag, n AS tag_count, {r('frac')} AS frac, {r('frac_all')} AS frac_all, {r('enrichment')} AS enrichment FROM enriched")
 def tag_enrichment_all(spark, sf):
     d = tags.enrichment(_members(spark, sf), _rich_tags(spark, sf))
     return d.select("cluster", "tagged", "tag", "tag_count", *[R(F.col(c)).alias(c) for c in ("frac", "frac_all", "enrichment")])
 
 
-@query("cluster_best_tags_all", _rich(SQL["cluster_best_tags"]))
+@query("cluster_best_tags_all", f"""WITH {ENRICHED_ALL_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {r('enrichment', 9)} DESC, n DESC, tag) AS k FROM enriched)
+SELECT cluster, string_agg(tag, ', ' ORDER BY k) AS label FROM b WHERE k <= 2 GROUP BY cluster""")
 def cluster_best_tags_all(spark, sf):
     d = tags.enrichment(_members(spark, sf), _rich_tags(spark, sf)).withColumn("enrichment", R(F.col("enrichment"), 9))
     return tags.best_tags(d, 2)
@@ -154,18 +132,8 @@ def set_algebra(spark, sf):
     return f.intersect(b).agg(F.lit("both").alias("part"), F.count("*").alias("n")).union(f.subtract(b).agg(F.lit("only"), F.count("*")))
 
 
-@query("numeric_aware_sort", "SELECT row_number() OVER (ORDER BY try_cast(s AS BIGINT) NULLS LAST, s) AS pos, s FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'x' || p_partkey ELSE p_partkey::VARCHAR END AS s FROM part WHERE p_size < 3)")
-def numeric_aware_sort(spark, sf):
-    from pyspark.sql import Window as W
-
-    k = F.col("p_partkey").cast("string")
-    s = table(spark, sf, "part").filter("p_size < 3").select(F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("x"), k)).otherwise(k).alias("s"))
-    return s.select(F.row_number().over(W.orderBy(F.col("s").try_cast("bigint").asc_nulls_last(), "s")).cast("bigint").alias("pos"), "s")
-
-
-@query("numeric_aware_sort_all", SQL["numeric_aware_sort"].replace(" WHERE p_size < 3", ""))
+@query("numeric_aware_sort_all", "SELECT row_number() OVER (ORDER BY try_cast(s AS BIGINT) NULLS LAST, s) AS pos, s FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'x' || p_partkey ELSE p_partkey::VARCHAR END AS s FROM part)")
 def numeric_aware_sort_all(spark, sf):
-    """All parts."""
     k = F.col("p_partkey").cast("string")
     s = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("x"), k)).otherwise(k).alias("s"))
     return sampling.numeric_order(s, "s")

@@ -7,7 +7,7 @@ from ..operators import clustering as C
 from ..operators import density as D
 from ..operators import vectors as V
 from .adapters import r
-from .registry import SQL, query, table
+from .registry import query, table
 
 DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 
@@ -41,14 +41,9 @@ def knn_join(spark, sf):
     return V.knn(q, "q_id", "embedding", e, "vec_id", "embedding", 8).select("q_id", "vec_id", R(F.col("dist")).alias("dist"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("pairwise_infonce", f"""WITH v AS (SELECT vec_id // 32 AS batch, vec_id // 2 AS item, vec_id % 2 AS side, embedding AS e, sqrt({DOT.format(a='embedding', b='embedding')}) + 1e-9 AS n FROM embeddings WHERE vec_id < 480),
+@query("pairwise_infonce_all", f"""WITH v AS (SELECT vec_id // 32 AS batch, vec_id // 2 AS item, vec_id % 2 AS side, embedding AS e, sqrt({DOT.format(a='embedding', b='embedding')}) + 1e-9 AS n FROM embeddings),
 j AS (SELECT a.batch, a.item, a.side, b.item AS i2, {DOT.format(a='a.e', b='b.e')} / a.n / b.n / 0.1e0 AS s FROM v a JOIN v b ON a.batch = b.batch AND (a.item <> b.item OR a.side <> b.side)),
 w AS (SELECT batch, item, side, ln(sum(exp(s))) - max(s) FILTER (i2 = item) AS l FROM j GROUP BY ALL) SELECT batch, {r('avg(l)')} AS loss FROM w GROUP BY batch""")
-def pairwise_infonce(spark, sf):
-    return _infonce(_emb(spark, sf).filter("vec_id < 480"))
-
-
-@query("pairwise_infonce_all", SQL["pairwise_infonce"].replace(" WHERE vec_id < 480", ""))
 def pairwise_infonce_all(spark, sf):
     """All embeddings; the last batch may be partial."""
     return _infonce(_emb(spark, sf))
@@ -82,12 +77,7 @@ def standardize_apply(spark, sf):
     return z.select("l_orderkey", "l_linenumber", *[R(F.col(c)).alias(c) for c in LINE])
 
 
-@query("covariance_matrix", "WITH p AS (SELECT i, j FROM range(8) a(i), range(8) b(j) WHERE i <= j) SELECT i::INT AS i, j::INT AS j, floor(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) * 1e8 + 5e-1) / 1e8 AS cov FROM embeddings, p GROUP BY i, j")
-def covariance_matrix(spark, sf):
-    return V.covariance(_emb(spark, sf), "embedding", 8).select("i", "j", R(F.col("cov"), 8).alias("cov"))
-
-
-@query("covariance_matrix_all", SQL["covariance_matrix"].replace("range(8)", "range(64)"))
+@query("covariance_matrix_all", "WITH p AS (SELECT i, j FROM range(64) a(i), range(64) b(j) WHERE i <= j) SELECT i::INT AS i, j::INT AS j, floor(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) * 1e8 + 5e-1) / 1e8 AS cov FROM embeddings, p GROUP BY i, j")
 def covariance_matrix_all(spark, sf):
     """All positions."""
     return V.covariance(_emb(spark, sf), "embedding").select("i", "j", R(F.col("cov"), 8).alias("cov"))
