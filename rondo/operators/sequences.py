@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,6 +118,118 @@ def train_projection(enc: Encoder, seqs: list[np.ndarray], epochs: int = 5, batc
     return losses
 
 
+def _gru_steps(w: dict[str, np.ndarray], x: np.ndarray, d: str, n: int) -> tuple[np.ndarray, list[tuple]]:
+    """Outputs (rows, steps, n) of one direction over a batch of sequences, and what each step must remember."""
+    h, out, kept = np.zeros((len(x), n)), np.empty((*x.shape[:2], n)), []
+    gx = x @ w[f"{d}x"] + w[f"{d}b"]
+    for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
+        gh = h @ w[f"{d}h"]
+        rz = 1 / (1 + np.exp(-(gx[:, t, : 2 * n] + gh[:, : 2 * n])))
+        c = np.tanh(gx[:, t, 2 * n :] + rz[:, :n] * gh[:, 2 * n :])
+        kept.append((t, h, rz, c, gh[:, 2 * n :]))
+        h = rz[:, n:] * h + (1 - rz[:, n:]) * c
+        out[:, t] = h
+    return out, kept
+
+
+def _gru_back(w: dict[str, np.ndarray], x: np.ndarray, d: str, n: int, kept: list[tuple], dout: np.ndarray, g: dict[str, np.ndarray]) -> None:
+    """Add the gradients of one direction, last step first."""
+    back = np.zeros((len(x), n))
+    for t, h, rz, c, ghc in reversed(kept):
+        dh = dout[:, t] + back
+        r, z = rz[:, :n], rz[:, n:]
+        dc = dh * (1 - z) * (1 - c * c)
+        dz = dh * (h - c) * z * (1 - z)
+        dr = dc * ghc * r * (1 - r)
+        dx = np.concatenate([dr, dz, dc], axis=1)
+        dgh = np.concatenate([dr, dz, dc * r], axis=1)
+        g[f"{d}x"] += x[:, t].T @ dx
+        g[f"{d}b"] += dx.sum(0)
+        g[f"{d}h"] += h.T @ dgh
+        back = dh * z + dgh @ w[f"{d}h"].T
+
+
+def loss_and_gradients(enc: Encoder, views: np.ndarray, temperature: float = 0.1, keep: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Symmetric contrastive loss of 2 * n views, (steps, features) each, the i-th and (i + n)-th of one sequence; and its gradients.
+
+    keep: a mask with its scale on the recurrent outputs (dropout), or none.
+    """
+    w, n = enc.w, enc.hidden
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    (hf, kf), (hb, kb) = (_gru_steps(w, views, d, n) for d in "fb")
+    h = np.concatenate([hf, hb], axis=2)
+    h = h if keep is None else h * keep
+    s = h @ w["att"]
+    a = np.exp(s - s.max(1, keepdims=True))
+    a /= a.sum(1, keepdims=True)
+    p = (a[:, :, None] * h).sum(1)
+    hid = np.maximum(p @ w["p1"], 0)
+    z = hid @ w["p2"]
+    norm = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    u = z / norm
+    m = len(u)
+    sim = u @ u.T / temperature
+    np.fill_diagonal(sim, -np.inf)
+    top = sim.max(1, keepdims=True)
+    q = np.exp(sim - top)
+    total = q.sum(1, keepdims=True)
+    pos = (np.arange(m) + m // 2) % m
+    loss = float((np.log(total[:, 0]) + top[:, 0] - sim[np.arange(m), pos]).mean())
+    q /= total
+    q[np.arange(m), pos] -= 1
+    du = (q + q.T) @ u / (temperature * m)
+    dz = (du - u * (du * u).sum(1, keepdims=True)) / norm
+    g["p2"] += hid.T @ dz
+    dhid = dz @ w["p2"].T * (hid > 0)
+    g["p1"] += p.T @ dhid
+    dp = dhid @ w["p1"].T
+    da = (h * dp[:, None, :]).sum(2)
+    ds = a * (da - (a * da).sum(1, keepdims=True))
+    g["att"] += (ds[:, :, None] * h).sum((0, 1))
+    dh = a[:, :, None] * dp[:, None, :] + ds[:, :, None] * w["att"]
+    dh = dh if keep is None else dh * keep
+    _gru_back(w, views, "f", n, kf, dh[:, :, :n], g)
+    _gru_back(w, views, "b", n, kb, dh[:, :, n:], g)
+    return loss, g
+
+
+def train(
+    enc: Encoder, seqs: list[np.ndarray], epochs: int = 10, batch: int = 128, crop: int = 64, rate: float = 3e-4, decay: float = 1e-2, temperature: float = 0.1, clip: float = 3.0, dropout: float = 0.1,
+    seed: int = 2025, same_views: bool = False, checkpoint: Callable[[int, dict[str, np.ndarray], float], None] | None = None,
+) -> list[float]:
+    """Contrastive training of all weights over a bounded sample of sequences held by the caller; loss of each epoch.
+
+    AdamW with clipped gradients. Empty sequences and those with numbers that aren't finite are passed over, and so are batches
+    whose loss isn't. same_views: every epoch sees the views of the first one. checkpoint is called after each epoch.
+    """
+    good = [i for i, x in enumerate(seqs) if len(x) and np.isfinite(x).all()]
+    m, v = ({k: np.zeros_like(x) for k, x in enc.w.items()} for _ in range(2))
+    rng, losses, step = np.random.default_rng(seed), [], 0
+    for epoch in range(epochs):
+        order, total = rng.permutation(good) if good else [], []
+        for at in range(0, len(order), batch):
+            ids = order[at : at + batch]
+            if len(ids) < 2:
+                continue
+            views = np.stack([augment(seqs[i], _rng(seed + (0 if same_views else epoch), f"{i}:{side}"), crop) for side in (0, 1) for i in ids]).astype(float)
+            keep = (rng.random((*views.shape[:2], 2 * enc.hidden)) >= dropout) / (1 - dropout) if dropout else None
+            loss, g = loss_and_gradients(enc, views, temperature, keep)
+            size = np.sqrt(sum((x * x).sum() for x in g.values()))
+            if not (np.isfinite(loss) and np.isfinite(size)):
+                continue
+            total.append(loss)
+            step += 1
+            for k, x in enc.w.items():
+                d = g[k] * min(1.0, clip / (size + 1e-12))
+                m[k] = 0.9 * m[k] + 0.1 * d
+                v[k] = 0.999 * v[k] + 0.001 * d * d
+                x -= rate * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + decay * x)
+        losses.append(float(np.mean(total)) if total else float("nan"))
+        if checkpoint:
+            checkpoint(epoch, enc.w, losses[-1])
+    return losses
+
+
 def embed_maps(rows: DataFrame, key: str, order: str, columns: list[str], enc: Encoder) -> DataFrame:
     """(key, embedding): each map's rows in order through the encoder. A map is a file's worth of rows."""
 
