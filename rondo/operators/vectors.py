@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,8 +62,6 @@ def knn(queries: DataFrame, qkey: str, qvec: str, base: DataFrame, key: str, vec
     x = np.array([r["v"] for r in got], float) if got else np.zeros((0, 1))
 
     def local(batches):
-        import pandas as pd
-
         best: pd.DataFrame | None = None
         for b in batches:
             for at in range(0, len(b), max(1, CELLS // max(1, len(x)))):
@@ -155,8 +154,6 @@ def moments(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0), np.zeros((0, 0))
 
     def sums(batches):
-        import pandas as pd
-
         n, s, p = 0, np.zeros(dims), np.zeros((dims, dims))
         for b in batches:
             x = np.stack(b[vector].to_numpy()).astype(float)
@@ -179,6 +176,10 @@ def covariance(rows: DataFrame, vector: str, dims: int | None = None) -> DataFra
     return rows.sparkSession.createDataFrame(data, "i int, j int, cov double")
 
 
+#: Terms of a projection that is still written as one expression; beyond, code generation would give up.
+EXPRESSION = 512
+
+
 def pca(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """Coordinates on the first k principal axes, centred; the largest loading of each axis is positive."""
     mean, cov = moments(rows, vector)
@@ -188,6 +189,13 @@ def pca(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     _, vec = np.linalg.eigh(cov)
     axes = vec[:, ::-1][:, :k]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(k)])
+    if k * dims > EXPRESSION:
+
+        @F.pandas_udf("array<double>")
+        def project(v: pd.Series) -> pd.Series:
+            return v.map(lambda x: None if x is None else ((np.asarray(x, float) - mean) @ axes).tolist())
+
+        return rows.select(F.col(key), project(F.col(vector)).alias("__pc")).select(key, *[F.col("__pc")[c].alias(f"pc{c + 1}") for c in range(k)])
     out = [sum((F.element_at(vector, i + 1).cast("double") - float(mean[i])) * float(axes[i, c]) for i in range(dims)).alias(f"pc{c + 1}") for c in range(k)]
     return rows.select(key, *out)
 
