@@ -26,6 +26,10 @@ LONGEST = 40
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _odd_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+#: Stands before punctuation that has no space before it; a text that holds it goes to the library whole.
+MARK = "\x02"
+COMMA, STOP = f" {MARK}, ", f" {MARK}. "
+_glued = re.compile(f"(?<![^\\W_]) {MARK}").search
 _between = re.compile(r"(?<=\S) (?=\S)").split
 
 
@@ -37,7 +41,10 @@ def _split(text: str) -> list[str]:
     odd = any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _odd_space(text)
     if odd or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in ("  ", "\n\n", " \n", "\n ")):
         return _between("\n" + text)
-    return ("\n" + text.replace("\n", " \n")).split(" ")
+    text = "\n" + text.replace("\n", " \n")
+    # A stop or comma behind a letter or digit is a piece of its own: a word by itself, so that fewer different words remain.
+    marked = text.replace(", ", COMMA).replace(". ", STOP)
+    return (text if _glued(marked) else marked).split(" ")
 
 
 class WordEncoder:
@@ -103,6 +110,9 @@ class WordEncoder:
         letters = [w for w in todo if w.isalpha()]
         out.update(zip(letters, self._encode_letters(letters)))
         todo.difference_update(letters)
+        marks = [w for w in todo if w[0] == MARK]
+        out.update(zip(marks, self._encode_all([w[1:] for w in marks])))
+        todo.difference_update(marks)
         spaced = [w for w in todo if w[0] != "\n"]
         out.update(zip(spaced, self._encode_all([" " + w for w in spaced])))
         heads = [w for w in todo if w[0] == "\n"]
@@ -135,7 +145,7 @@ class WordEncoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.empty(0, self.dtype)
-            elif self.special(t):
+            elif MARK in t or self.special(t):
                 out[i] = np.frombuffer(self._encode(t), self.dtype)
             else:
                 words += _split(t)
