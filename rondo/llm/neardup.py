@@ -348,8 +348,11 @@ def deduplicate(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     d.held.append(label)
     of_set = d.nodes.join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     placed = d.rows.filter("doc_id is not null").join(of_set, "set_hash").select("doc_id", "digest", "row", "component")
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    gone = placed.join(first, "component").filter(F.col("row") != F.col("first.row"))
+    if d.several:  # the smallest doc_id may have a number as its row
+        first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+        gone = placed.join(first, "component").filter(F.col("row") != F.col("first.row"))
+    else:  # a component is named by its smallest row
+        gone = placed.filter(F.col("row") != F.col("component"))
     id_, hash_, other = fresh(docs, "doc_id", "digest", "other")
     gone = materialize(gone.select(F.col("doc_id").alias(id_), F.col("digest").alias(hash_)).distinct(), "dup-gone")
     again = materialize(d.repeated.select(F.col("doc_id").alias(other)), "dup-again")
