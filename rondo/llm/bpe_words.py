@@ -16,8 +16,10 @@ from itertools import compress
 
 import numpy as np
 
+from .common import forgettable
+
 #: Words kept per process in each of two generations, some 200 bytes each: bounded memory, whatever the vocabulary.
-CACHE = 400_000
+CACHE = 300_000
 #: Marks of words seen before; only on second sight a word is kept, so that the many that occur once don't crowd out others.
 SEEN = 1 << 21
 #: Longer words are encoded anew each time.
@@ -167,3 +169,6 @@ class WordEncoder:
 def encoder(path: str) -> WordEncoder:
     """One encoder per process and file."""
     return WordEncoder(path)
+
+
+forgettable(__name__, lambda: encoder.cache_info().currsize, encoder.cache_clear)

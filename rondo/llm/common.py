@@ -62,11 +62,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: What modules keep in a worker from one task to the next: by module, how much is kept (0: nothing) and how to forget it.
+_kept: dict[str, tuple] = {}
+#: Module whose kept things a module's batch functions use, where it isn't their own.
+_USES = {"token_output": "bpe_words", "neardup": "wordhash", "decontam": "wordhash"}
+
+
+def forgettable(module: str, kept, forget) -> None:
+    _kept[module.rpartition(".")[2]] = kept, forget
+
+
+def forget_others(module: str) -> None:
+    """Forget what other operators kept in this worker, which Spark hands from stage to stage."""
+    own = module.rpartition(".")[2]
+    others = [forget for name, (kept, forget) in _kept.items() if name != _USES.get(own, own) and kept()]
+    for forget in others:
+        forget()
+    if others:
+        give_back()
+
+
 def lean(run):
-    """A batch function whose worker, which Spark keeps for later tasks, gives freed memory back to the system at its end."""
+    """A batch function whose worker, which Spark keeps for later tasks, forgets what other operators kept and gives freed memory back."""
 
     @wraps(run)
     def wrapped(batches):
+        forget_others(run.__module__ or "")
         try:
             yield from run(batches)
         finally:

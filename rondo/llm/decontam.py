@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import give_back, lean, n_words, sliced, small_batches
+from .common import forget_others, give_back, lean, n_words, sliced, small_batches
 
 BLOCK, RANK, SPANS, ROWS_AT_ONCE = 12, 32, (2, 4, 6), 2000
 COSINE, SHARED, NEAR, PARAPHRASE = 0.4, 0.4, 0.75, 0.5
@@ -393,6 +393,7 @@ def _holds(checker: Checker):
 
     @F.pandas_udf("boolean")
     def found(texts: pd.Series) -> pd.Series:
+        forget_others(__name__)
         out = np.zeros(len(texts), bool)
         for i, *_ in checker.find(texts.where(texts.notna(), None).tolist()):
             out[i] = True

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, lean, sliced
+from .common import chunks, forgettable, lean, sliced
 
 END = "</w>"
 #: Characters with columns of their own in the table; rows of the table; characters of a chunk; characters run at once.
@@ -419,6 +419,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+forgettable(__name__, lambda: counter.cache_info().currsize, counter.cache_clear)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row."""
 

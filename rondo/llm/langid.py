@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, lean, sliced, small_batches
+from .common import chunks, forget_others, forgettable, give_back, lean, sliced, small_batches
 
 MAX_DOCS, BUCKETS, ALPHA, SWITCH = 4000, 1 << 16, 0.05, 14.0
 #: Characters split at once, and word scores (words times languages) held for one Viterbi pass: 4 bytes each.
@@ -63,6 +63,9 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letter, lower, script
 
 
+forgettable(__name__, lambda: tables.cache_info().currsize, tables.cache_clear)
+
+
 @dataclass
 class Words:
     """The words of some texts: bucket of each trigram, first trigram of each word, and of each word begin, end, script, text."""
@@ -241,6 +244,7 @@ def language_of(model: Model):
 
     @F.pandas_udf("string")
     def found(texts: pd.Series) -> pd.Series:
+        forget_others(__name__)
         out = pd.Series(names[predict(model, texts.where(texts.notna(), None).tolist())[0]])
         give_back()
         return out

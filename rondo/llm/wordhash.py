@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import chunks
+from .common import chunks, forgettable
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -33,6 +33,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _forget() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+forgettable(__name__, lambda: len(_powers[0]) > 1, _forget)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit."""
     h = h ^ (h >> np.uint64(33))

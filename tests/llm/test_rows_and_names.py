@@ -49,10 +49,18 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
+def together(names):
+    """The rows of several cases, each with doc_ids and words of its own."""
+    out = []
+    for n, name in enumerate(names):
+        out += [(None if k is None else k + 1000 * n, t and " ".join(w and (f"c{n}{w}" if w.islower() else f"C{n}{w}") for w in t.split(" "))) for k, t in CASES[name]]
+    return out
+
+
+@pytest.mark.parametrize("names", [["largest ids"], [n for n in CASES if n != "largest ids"]])
 @pytest.mark.parametrize("turned", [False, True])
-def test_documents_of_several_texts(spark, name, turned):
-    rows = CASES[name][::-1] if turned else CASES[name]
+def test_documents_of_several_texts(spark, names, turned):
+    rows = together(names)[::-1] if turned else together(names)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = neardup.near_duplicates(d).collect()
     assert Bag((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_documents(rows)
@@ -75,8 +83,7 @@ def test_random_documents_of_several_texts(spark):
         assert Bag((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute_documents(r)
 
 
-@pytest.mark.parametrize("words", [4, 5])
-@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("words, turned", [(4, False), (5, True)])
 def test_deduplicate(spark, words, turned):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
@@ -137,3 +144,19 @@ def test_fresh_names(spark):
     d = spark.createDataFrame([(1, 2)], "a int, A_ int")
     assert common.fresh(d, "a", "a", "b") == ["a__", "a___", "b"]
     assert d.withColumn(common.fresh(d, "A")[0], F.lit(1)).count() == 1
+
+
+def test_workers_forget_what_other_operators_kept():
+    from rondo.llm import bpe_words, langid, wordhash
+    from rondo.llm.queries import public_tokenizer
+
+    kept = lambda: {k for k, (n, _) in common._kept.items() if n()}
+    bpe_words.encoder(public_tokenizer("byte_bpe_50k.json"))
+    wordhash.word_hashes(b"a b")
+    langid.tables()
+    assert {"bpe_words", "wordhash", "langid"} <= kept()
+    common.forget_others("rondo.llm.token_output")
+    assert kept() == {"bpe_words"}
+    wordhash.word_hashes(b"a b")
+    common.forget_others("rondo.llm.neardup")
+    assert kept() == {"wordhash"} and len(wordhash.word_hashes(b"c d e")) == 3
