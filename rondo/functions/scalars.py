@@ -16,9 +16,13 @@ def finite(c: Column) -> Column:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    """Round half up by floor: every engine gives the same last digit."""
+    """Round half up by floor: every engine gives the same last digit.
+
+    Spark's floor ends at the largest long; from 2^52 on a double is whole and stays as it is.
+    """
     k = 10.0**digits
-    return F.floor(c * k + 0.5) / k
+    v = c * k + 0.5
+    return F.when(F.abs(v) < 2.0**52, F.floor(v)).otherwise(v) / k
 
 
 def bankers(c: Column, digits: int) -> Column:

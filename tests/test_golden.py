@@ -48,6 +48,14 @@ def test_square_path(square):
     assert column(N.center_stats(square), "edge_proximity") == pytest.approx([0.520833, 0.520833, 0.958333, 0.520833, 0.520833], abs=1e-6)
 
 
+def test_rounding_beyond_the_largest_long(spark):
+    values = [178277183205618.4, -178277183205618.4, 5e32, -9223372036854.7, 4503599627.3704955, 4503599627.370497, 1.0000005, -0.0000005, 0.0]
+    d = spark.createDataFrame([(v,) for v in [*values, math.inf, -math.inf, math.nan, None]], "v double")
+    got = [r["r"] for r in d.select(S.rounded(F.col("v")).alias("r")).collect()]
+    assert got[: len(values)] == [math.floor(v * 1e6 + 0.5) / 1e6 for v in values]
+    assert got[-4:-2] == [math.inf, -math.inf] and math.isnan(got[-2]) and got[-1] is None
+
+
 def test_square_windows(square):
     b = windows.map_bounds(square)
     assert b.first()["t_end"] == 2500
