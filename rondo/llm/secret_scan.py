@@ -9,8 +9,8 @@ end or before any punctuation: KEY=value, paths and URLs are such runs. Three fi
 runs) always add their spans beside these.
 
 The labelled credentials are EXAMPLES_PER_FORMAT seeded draws of each of the public formats in FORMATS: a bounded set,
-independent of the corpus. Ordinary runs are ORDINARY seeded draws and, weighing at most as much, the runs without a find of about
-ORDINARY_DOCS documents drawn by hash; of these only counts of class pairs are gathered. So training is bounded at any size.
+independent of the corpus. Ordinary runs are ORDINARY seeded draws and, weighing at most as much, the runs without a find of all
+documents; of these only counts of class pairs are gathered, so what reaches the driver is bounded at any size.
 
 Edge cases: null and empty texts have no span; offsets are code points, end exclusive; repeated rows give equal
 results each; an empty table gives no rows; texts of any length are scanned whole; other columns are ignored.
@@ -60,8 +60,8 @@ FORMATS: dict[str, tuple] = {
     "hex_40": (("0123456789abcdef", 40),),
 }
 EXAMPLES_PER_FORMAT, ALPHA, MIN_COUNT = 150, 0.05, 8
-#: Ordinary runs drawn from a seed, and documents whose runs are counted beside them.
-ORDINARY, ORDINARY_DOCS = 4000, 5000
+#: Ordinary runs drawn from a seed; the runs of the documents are counted beside them.
+ORDINARY = 4000
 #: Least log-likelihood ratio for each character of a candidate.
 THRESHOLD = 0.55
 #: Log-probability of a class that a state of an automaton never saw in training.
@@ -260,20 +260,16 @@ def pairs(said: str):
     return zip(("", *said), said)
 
 
-def ordinary_counts(docs: DataFrame, automata: dict[str, Automaton], text: str = "text", key: str = "doc_id", most: int = ORDINARY_DOCS) -> dict[tuple[str, str], float]:
-    """Class pairs of the long runs of a bounded sample of documents, about `most` drawn by hash.
+def ordinary_counts(docs: DataFrame, automata: dict[str, Automaton], text: str = "text") -> dict[tuple[str, str], float]:
+    """Class pairs of the long runs of all documents.
 
     Runs in base spans, and those in which the automata find something against the seeded runs alone, are left out. At
     most one number for each pair of classes reaches the driver.
     """
     scanner_of = _scanner_factory(automata, Background(ordinary_runs()))
-    n = docs.count()
-    if not n:
-        return {}
-    share = min(1.0, most / n) * (1 << 20)
-    drawn = docs.select(docs[text].cast("string").alias("text"), F.xxhash64(docs[key].cast("string"), docs[text].cast("string")).alias("h"))
-    drawn = drawn.filter((F.pmod("h", F.lit(1 << 20)) < share) & F.col("text").isNotNull()).select("text")
+    texts = docs.select(docs[text].cast("string").alias("text")).filter("text is not null")
 
+    @lean
     def run(batches):
         found: dict[tuple[str, str], int] = defaultdict(int)
         scanner = scanner_of()
@@ -287,7 +283,7 @@ def ordinary_counts(docs: DataFrame, automata: dict[str, Automaton], text: str =
         names = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in names], pa.string()), pa.array([x[1] for x in names], pa.string()), pa.array([found[x] for x in names], pa.int64())], ["last", "c", "n"])
 
-    rows = drawn.mapInArrow(lean(run), "last string, c string, n long").groupBy("last", "c").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(run, "last string, c string, n long").groupBy("last", "c").agg(F.sum("n").alias("n")).collect()
     return {(r["last"], r["c"]): float(r["n"]) for r in rows}
 
 
@@ -412,7 +408,7 @@ class Scanner:
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, kind, start, end, value, format, score): one row per span."""
     automata = train()
-    scanner_of = _scanner_factory(automata, Background(ordinary_runs(), ordinary_counts(docs, automata, text, key)))
+    scanner_of = _scanner_factory(automata, Background(ordinary_runs(), ordinary_counts(docs, automata, text)))
 
     @lean
     def run(batches):
@@ -453,7 +449,7 @@ def scan_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     `-inf` mean that no automaton can say it. Ratios are log-likelihood ratios a character against ordinary runs.
     """
     automata = train()
-    scanner_of = _scanner_factory(automata, Background(ordinary_runs(), ordinary_counts(docs, automata, text, key)))
+    scanner_of = _scanner_factory(automata, Background(ordinary_runs(), ordinary_counts(docs, automata, text)))
 
     @lean
     def run(batches):

@@ -54,6 +54,18 @@ def test_every_candidate_is_scored(spark):
     assert seen > 50
 
 
+def test_ordinary_runs_of_all_documents_count(spark):
+    automata = secret_scan.train()
+    run, n = "some_ordinary/long_identifier", 12_000
+    d = spark.range(0, n, 1, 4).selectExpr("id as doc_id", f"concat('see {run} in ', id) as text")
+    none = d.selectExpr("-1 - doc_id as doc_id", "cast(null as string) as text")
+    want = {}
+    for pair in secret_scan.pairs(secret_scan.symbols(run)):
+        want[pair] = want.get(pair, 0) + n
+    assert secret_scan.ordinary_counts(d.union(none), automata) == want
+    assert secret_scan.ordinary_counts(none, automata) == {} == secret_scan.ordinary_counts(d.limit(0), automata)
+
+
 def test_planted_formats_are_found_and_clean_documents_left_alone(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rng = random.Random(6)
