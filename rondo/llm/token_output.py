@@ -27,7 +27,7 @@ from .common import chunks, lean, materialize, release, sliced, small_batches
 from .rans import Table, encode_segment, open_segment
 
 #: Tokens after which a segment ends, and characters tokenized at once.
-SEGMENT, AT_ONCE = 1 << 20, 1 << 17
+SEGMENT, AT_ONCE = 1 << 20, 1 << 19
 RAW = "pid int, seq int, first long, n_tokens long, doc_ids array<bigint>, lens array<bigint>, ids binary, seen binary, times binary"
 
 

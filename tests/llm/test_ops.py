@@ -58,6 +58,26 @@ def test_word_encoder_is_the_library():
         assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_word_encoder_looks_each_word_up_once(monkeypatch):
+    path = public_tokenizer("byte_bpe_50k.json")
+    enc, lib = bpe_words.WordEncoder(path), library(path)
+    looked: list[str] = []
+
+    class Counting(dict):
+        def get(self, w, default=None):
+            looked.append(w)
+            return super().get(w, default)
+
+    monkeypatch.setattr(bpe_words, "AT_ONCE", 1000, raising=False)  # ids of a text are laid out in several parts
+    texts = [" ".join(f"eau{'x' * (i % 7)} là, {i % 5}. 字{i % 3}\nfin" for i in range(k, k + 400)) for k in range(5)] + ["", None, "a  b", "x", "\x02 y"]
+    for _ in range(2):
+        enc.words = Counting(enc.words)
+        looked.clear()
+        for t, ids in zip(texts, enc.ids(texts)):
+            assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids
+        assert len(looked) < 100
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 20_000, 70_001])
 def test_rans_round_trip_and_checkpoints(n):
     rng = np.random.default_rng(n)
